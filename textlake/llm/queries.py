@@ -11,6 +11,19 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .media import documents_as_media, media_columns
+
+    rows = media_columns(documents_as_media(_table(spark, sf_dir, "documents")))
+    return rows.withColumnRenamed("media_id", "doc_id")
+
+
+def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import sampled
+
+    return sampled(_table(spark, sf_dir, "documents").select("doc_id", "source", "text")).select("doc_id", "source", "n_copies")
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_counts import token_counts
 
@@ -23,9 +36,17 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode(_table(spark, sf_dir, "documents"))
 
 
+def op10_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .sharding import shards
+
+    return shards(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_token_counts, op8_byte_bpe)}
+    return {f.__name__: f for f in (op1_media_columns, op3_mix_sources, op4_token_counts, op8_byte_bpe, op10_shards)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from . import mixing
+
+    return {"op3_mix_sources": mixing.ORACLE_SQL}
