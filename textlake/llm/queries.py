@@ -36,6 +36,12 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode(_table(spark, sf_dir, "documents"))
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import classify
+
+    return classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op10_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .sharding import shards
 
@@ -43,7 +49,7 @@ def op10_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_media_columns, op3_mix_sources, op4_token_counts, op8_byte_bpe, op10_shards)}
+    return {f.__name__: f for f in (op1_media_columns, op3_mix_sources, op4_token_counts, op8_byte_bpe, op9_quality, op10_shards)}
 
 
 def oracle_sql() -> dict[str, str]:
