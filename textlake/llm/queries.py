@@ -18,6 +18,12 @@ def op1_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumnRenamed("media_id", "doc_id")
 
 
+def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .near_dup import jaccard_join
+
+    return jaccard_join(_table(spark, sf_dir, "documents"))
+
+
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import sampled
 
@@ -49,7 +55,7 @@ def op10_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_media_columns, op3_mix_sources, op4_token_counts, op8_byte_bpe, op9_quality, op10_shards)}
+    return {f.__name__: f for f in (op1_media_columns, op2_jaccard_join, op3_mix_sources, op4_token_counts, op8_byte_bpe, op9_quality, op10_shards)}
 
 
 def oracle_sql() -> dict[str, str]:
