@@ -2,9 +2,36 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 from textlake.llm.bpe import encode
+from textlake.llm.cluster import shared_folder
+from textlake.llm.mixing import mixed
+from textlake.llm.near_dup import one_of_each
+from textlake.llm.passages import passages_removed
+from textlake.llm.quality import rejected_dropped
+
+
+def drop_rejected(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier rejects go; it is fitted on the labels of ``docs``."""
+    return rejected_dropped(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates stays."""
+    return one_of_each(docs)
+
+
+def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages that an earlier document has are cut out."""
+    return passages_removed(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents are sampled to the sources' target weights; whole copies are rows."""
+    return mixed(docs)
 
 
 def encode_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -12,13 +39,22 @@ def encode_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return encode(docs)
 
 
-STAGES = [("bpe", encode_documents)]
+STAGES = [
+    ("quality classifier", drop_rejected),
+    ("n-gram Jaccard join", drop_near_duplicates),
+    ("substring dedup", drop_repeated_passages),
+    ("source mixing", mix_sources),
+    ("byte-level BPE", encode_documents),
+]
 
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each stage's documents are written as Parquet in the shared folder and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    for number, (_, stage) in enumerate(STAGES):
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{number}")
+        docs = spark.read.parquet(f"{folder}/{number}")
     return docs

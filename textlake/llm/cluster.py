@@ -9,13 +9,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cuts lineage by writing ``df`` to the folder of spark.checkpoint.dir, which all
-    executors share; where that is unset (tests), to a temporary folder."""
-    spark: SparkSession = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir, which all executors share; only where that is
+    unset (tests), a temporary one."""
     context = spark.sparkContext
+    return context.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) or _temporary(spark)
+
+
+def _temporary(spark: SparkSession) -> str:
+    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="textlake-"))
+    return spark.sparkContext.getCheckpointDir()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cuts lineage by writing ``df`` to the shared folder."""
+    context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="textlake-"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
