@@ -42,6 +42,12 @@ def op6_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_passages(_table(spark, sf_dir, "documents"))
 
 
+def op7_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .multi_index import near_duplicates
+
+    return near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .bpe import encode
 
@@ -61,7 +67,7 @@ def op10_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_media_columns, op2_jaccard_join, op3_mix_sources, op4_token_counts, op6_repeated_passages, op8_byte_bpe, op9_quality, op10_shards)}
+    return {f.__name__: f for f in (op1_media_columns, op2_jaccard_join, op3_mix_sources, op4_token_counts, op6_repeated_passages, op7_near_vectors, op8_byte_bpe, op9_quality, op10_shards)}
 
 
 def oracle_sql() -> dict[str, str]:
