@@ -36,6 +36,12 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(_table(spark, sf_dir, "documents"))
 
 
+def op5_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffix_tree import scores
+
+    return scores(_table(spark, sf_dir, "documents"))
+
+
 def op6_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .passages import repeated_passages
 
@@ -67,7 +73,7 @@ def op10_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_media_columns, op2_jaccard_join, op3_mix_sources, op4_token_counts, op6_repeated_passages, op7_near_vectors, op8_byte_bpe, op9_quality, op10_shards)}
+    return {f.__name__: f for f in (op1_media_columns, op2_jaccard_join, op3_mix_sources, op4_token_counts, op5_lm_scores, op6_repeated_passages, op7_near_vectors, op8_byte_bpe, op9_quality, op10_shards)}
 
 
 def oracle_sql() -> dict[str, str]:
