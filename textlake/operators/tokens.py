@@ -13,7 +13,7 @@ from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, S
 
 from ..functions.text import CHUNK, WHITE, WORD
 
-ABBREVIATIONS = ("e.g.", "i.e.", "Mr.", "Ms.", "Mrs.", "Dr.", "St.", "Rd.", "Ave.", "A.D.", "B.C.", "Mt.")
+ABBREVIATIONS = ("A.D.", "Ave.", "B.C.", "Dr.", "Mr.", "Mrs.", "Ms.", "Mt.", "Rd.", "St.", "e.g.", "i.e.")
 
 
 def tokens(docs: DataFrame, pattern: str = WORD, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -65,21 +65,24 @@ def sentences(docs: DataFrame, text: str = "text") -> DataFrame:
     return sentence_words(docs, text).select("doc_id", "line_ix", "sent_ix", F.size("words").alias("n_words"), F.array_join("words", " ").alias("sent"))
 
 
+_AN = "0-9A-Za-z"
+_SIGNS = "".join(map(re.escape, sorted("()[]{}⟨⟩<>|/#$%&*+=@^`~,:;…«»“”‘’\"'‒–—―№¶")))
 RULES = (
-    r"\w+://(?:[a-zA-Z]|[0-9]|[$-_@.&+])+",
-    r"[a-zA-Z0-9_.+-]+@[a-zA-Z0-9-]+.[a-zA-Z0-9-.]+",
-    r"[+-]?[0-9](?:[0-9,.-]*[0-9])?",
-    r"\w(?:[\w'’`-]?\w+)*",
+    r"\w+://[$-_a-z]+",
+    f"[{_AN}_.+-]+@[{_AN}-]+.[{_AN}.-]+",
+    "[-+]?[0-9](?:[-.,0-9]*[0-9])?",
+    r"\w(?:[-`’'\w]?\w+)*",
     r"\w.(?:\w.)+\w?",
-    r"""["#$%&*+,/:;<=>@^`~…()⟨⟩{}\[\]|‒–—―«»“”‘’'№¶]""",
-    r"[.!?]+",
-    r"-+",
+    f"[{_SIGNS}]",
+    "[!?.]+",
+    "-+",
 )
 #: The rules of the Ukrainian profile also keep endings of ordinals with their number.
-RULES_UK = (*RULES[:2], r"\d+-[а-яіїєґ']+", *RULES[2:])
-_QUOTES = "\"‘’«»“”'"
-_TWO = re.compile(r"(?:i['‘’`]m|\w['‘’`]s|(?:i|you|s?he|we|they)['‘’`]d)$", re.I)
-_THREE = re.compile(r"(?:(?:i|you|s?he|we|they)['‘’`](?:ll|[vr]e)|n['‘’`]t)$", re.I)
+RULES_UK = (*RULES[:2], "[0-9]+-[а-яіїєґ']+", *RULES[2:])
+_QUOTES = "'\"«»‘’“”"
+_WHO, _MARK = "(?:they|we|you|s?he|i)", "[`‘’']"
+_TWO = re.compile(f"(?:i{_MARK}m|{_WHO}{_MARK}d|\\w{_MARK}s)$", re.I)
+_THREE = re.compile(f"(?:{_WHO}{_MARK}(?:[rv]e|ll)|n{_MARK}t)$", re.I)
 _QUOTED = re.compile(r"\w'+$")
 
 
