@@ -29,7 +29,6 @@ HASHES, ENOUGH = 4, 2
 #: Words without a match that a run may hold at a stretch, and its least share of matched words.
 GAP, DENSE = 10, 0.8
 _U = np.uint64
-LINK = "x bigint, xk bigint, y bigint, yk bigint, f int, xa int, xc int, xb int, ya int, yc int, yb int"
 
 
 def shingles(value: np.ndarray, bounds: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -82,18 +81,18 @@ def compact_windows(h: np.ndarray, at: np.ndarray, least: int) -> tuple[np.ndarr
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     least = LEAST - SHINGLE + 1
     for batch in batches:
-        data, offsets = buffers(batch.column(2))
+        data, offsets = buffers(batch.column(1))
         for i, j in slices(offsets):
             _, _, value, bounds = words(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
             token, at = shingles(value, bounds, SHINGLE)
-            ids, ks = batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i)
+            ids = batch.column(0).slice(i, j - i)
             for f in range(HASHES):
                 h = mix(token + _U(0x632BE59BD9B4E019 * (f + 1) & 0xFFFFFFFFFFFFFFFF))
                 a, c, b = compact_windows(h, at, least)
                 doc = np.searchsorted(at, c, "right") - 1
                 base, key = at[doc], (h[c] & ~_U(3) | _U(f)).view(np.int64)
                 take = pa.array(doc)
-                yield pa.record_batch([pa.array(key), ids.take(take), ks.take(take), *(pa.array((z - base).astype(np.int32)) for z in (a, c, b))], ["v", "id", "k", "a", "c", "b"])
+                yield pa.record_batch([pa.array(key), ids.take(take), *(pa.array((z - base).astype(np.int32)) for z in (a, c, b))], ["v", "id", "a", "c", "b"])
 
 
 def candidates(link: dict[str, np.ndarray]) -> bool:
@@ -166,9 +165,7 @@ def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for text in (xs[r], ys[r]):
                 raw = text.as_buffer().to_pybytes()
                 both.append((raw, *words(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))))
-            (xr, xb, xe, xv, xo), (yr, yb, _, yv, yo) = both
-            if sequence_keys(xv, xo)[0] != batch.column("xk")[r].as_py() or sequence_keys(yv, yo)[0] != batch.column("yk")[r].as_py():
-                continue  # another text of the same id
+            (xr, xb, xe, xv, _), (yr, yb, _, yv, _) = both
             runs = shared_runs(xv, yv)
             if runs:
                 begin = _characters(xr, [int(xb[s]) for s, *_ in runs])
@@ -181,15 +178,20 @@ def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each text's key, words and the characters before its first and through its last word."""
     for batch in batches:
         data, offsets = buffers(batch.column(1))
-        keys, counts = [np.zeros(0, np.int64)], [np.zeros(0, np.int32)]
         for i, j in slices(offsets):
             part = data[offsets[i] : offsets[j]]
-            _, _, value, bounds = words(part, offsets[i : j + 1] - offsets[i])
-            keys.append(sequence_keys(value, bounds))
-            counts.append(np.diff(bounds).astype(np.int32))
-        yield pa.record_batch([batch.column(0), pa.array(np.concatenate(keys)), pa.array(np.concatenate(counts))], ["id", "k", "n"])
+            at = offsets[i : j + 1] - offsets[i]
+            begin, end, value, bounds = words(part, at)
+            counts = np.diff(bounds)
+            some = np.flatnonzero(counts >= LEAST)
+            before = np.concatenate([[0], np.cumsum((part & 0xC0) != 0x80)])
+            first, last = begin[bounds[some]], end[bounds[some + 1] - 1]
+            base = before[at[some]]
+            columns = [pa.array(sequence_keys(value, bounds)[some]), pa.array(counts[some].astype(np.int32)), pa.array((before[first] - base).astype(np.int32)), pa.array((before[last] - base).astype(np.int32))]
+            yield pa.record_batch([batch.column(0).slice(i, j - i).take(pa.array(some)), *columns], ["id", "k", "n", "b", "e"])
 
 
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -200,48 +202,29 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     A passage has ``LEAST`` words at least, of which ``DENSE`` are in shared 5-word sequences.
     Documents of the same words as an earlier one are one passage as a whole (if they have so
     many words) and are not searched further. Texts that are null, empty or short and rows
-    without an id have no passages; repeated rows of an id count once; repeats within a document are
+    without an id have no passages; repeated rows of an id count once,
+    and several texts of one id are compared with others' under that id; repeats within a document are
     not reported; other columns are not read. A passage may be reported with two sources.
     """
     texts = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null and text is not null")
-    members = texts.mapInArrow(_keyed, "id bigint, k bigint, n int").where(F.col("n") >= LEAST).distinct()
-    by = Window.partitionBy("k")
-    grouped = members.withColumn("first", F.min("id").over(by))
-    copies = grouped.where("id > first")
-    copied = copies.join(texts, "id").mapInArrow(_whole, SPANS)
-    firsts = texts.mapInArrow(_with_keys, "id bigint, k bigint, text string").join(copies.select("id", "k"), ["id", "k"], "left_anti")
-    windows = firsts.select("id", "k", "text").mapInArrow(_windows, "v bigint, id bigint, k bigint, a int, c int, b int")
-    place = F.struct("id", "k", "a", "c", "b")
-    order = Window.partitionBy("v").orderBy("id", "k", "c")
+    members = texts.mapInArrow(_keyed, "id bigint, k bigint, n int, b int, e int")
+    first = members.withColumn("first", F.min("id").over(Window.partitionBy("k")))
+    copies = first.where("id > first")
+    copied = copies.select(F.col("id").alias("doc_id"), F.col("b").alias("begin_char"), F.col("e").alias("end_char"), F.col("n").alias("n_words"), F.col("n").alias("matched_words"), F.col("first").alias("source_doc_id"), F.lit(None).cast("int").alias("source_begin_char"))
+    windows = texts.mapInArrow(_windows, "v bigint, id bigint, a int, c int, b int")
+    place = F.struct("id", "a", "c", "b")
+    order = Window.partitionBy("v").orderBy("id", "c")
+    # A group's first document is no copy: what it copied would come before it.
     linked = windows.withColumn("head", F.first(place).over(order)).withColumn("before", F.lag(place).over(order))
     linked = linked.where("head.id <> id").withColumn("other", F.explode(F.array_distinct(F.array("head", "before")))).where("other.id <> id")
     link = F.struct(F.expr("cast(v & 3 as int)").alias("f"), F.col("a").alias("xa"), F.col("c").alias("xc"), F.col("b").alias("xb"), F.col("other.a").alias("ya"), F.col("other.c").alias("yc"), F.col("other.b").alias("yb"))
-    pairs = linked.select(F.col("id").alias("x"), F.col("k").alias("xk"), F.col("other.id").alias("y"), F.col("other.k").alias("yk"), link.alias("link"))
-    pairs = pairs.groupBy("x", "xk", "y", "yk").agg(F.collect_list("link").alias("links")).where(F.size(F.array_distinct(F.col("links.f"))) >= ENOUGH)
+    pairs = linked.select(F.col("id").alias("x"), F.col("other.id").alias("y"), link.alias("link"))
+    pairs = pairs.groupBy("x", "y").agg(F.collect_list("link").alias("links")).where(F.size(F.array_distinct(F.col("links.f"))) >= ENOUGH)
+    pairs = pairs.join(copies.select(F.col("id").alias("x")).distinct(), "x", "left_anti")
     met = pairs.join(texts.select(F.col("id").alias("x"), F.col("text").alias("x_text")), "x").join(texts.select(F.col("id").alias("y"), F.col("text").alias("y_text")), "y")
     return met.mapInArrow(_compared, SPANS).union(copied).distinct()
 
 
-def _with_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for keyed in _keyed(iter([batch])):
-            yield pa.record_batch([batch.column(0), keyed.column("k"), batch.column(1)], ["id", "k", "text"])
-
-
-def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Copies: from the first word to the last."""
-    for batch in batches:
-        out: list[tuple] = []
-        for r in range(batch.num_rows):
-            raw = batch.column("text")[r].as_buffer().to_pybytes()
-            begin, end, value, bounds = words(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
-            if sequence_keys(value, bounds)[0] == batch.column("k")[r].as_py():
-                b, e = _characters(raw, [int(begin[0]), int(end[-1])])
-                out.append((batch.column("id")[r].as_py(), b, e, len(value), len(value), batch.column("first")[r].as_py(), None))
-        kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int32()]
-        yield pa.record_batch([pa.array([o[i] for o in out], kind) for i, kind in enumerate(kinds)], [s.split()[0] for s in SPANS.split(", ")])
-
-
 def passages_removed(docs: DataFrame) -> DataFrame:
     """``docs``, with their columns, without the repeated passages: the earliest document of a
     passage keeps it. Rows of which nothing but blanks and signs is left go; other rows stay.
