@@ -144,7 +144,7 @@ def taxonomy_similarities(spark, d):
 
 @query(
     f"""{_TREE}, s as ({_SIMS}), x as (select a, b, max(i.ic) as most, min(i.ic) as least from lc join ic i on i.node = lc.above group by all), y as (select x.*, ia.ic as ia, ib.ic as ib from x join ic ia on ia.node = a join ic ib on ib.node = b)
-select s.*, round(most, 6) as res, case when abs(ia + ib - 2 * least) < 1e-12 then null else round(1 / (ia + ib - 2 * least), 6) end as jcn, case when ia + ib = 0 then 1.0 else round(2 * least / (ia + ib), 6) end as lin from s join y using (a, b)"""
+select s.*, round(most, 6) + 0.0 as res, case when abs(ia + ib - 2 * least) < 1e-12 then null else round(1 / (ia + ib - 2 * least), 6) end as jcn, case when ia + ib = 0 then 1.0 else round(2 * least / (ia + ib), 6) + 0.0 end as lin from s join y using (a, b)"""
 )
 def ic_similarities(spark, d):
     tree = edges(spark, d)

@@ -84,7 +84,7 @@ def similarities(pairs: DataFrame, edges: DataFrame, counts: DataFrame | None =
     shared = rows.join(ic("above"), "above").groupBy("a", "b").agg(F.max("ic_above").alias("most"), F.min("ic_above").alias("least"))
     shared = shared.join(ic("a"), "a").join(ic("b"), "b")
     apart = F.col("ic_a") + F.col("ic_b") - 2 * F.col("least")
-    shared = shared.select("a", "b", F.round("most", 6).alias("res"), F.when(F.abs(apart) < 1e-12, F.lit(None)).otherwise(F.round(1 / apart, 6)).alias("jcn"), F.when(F.col("ic_a") + F.col("ic_b") == 0, 1.0).otherwise(F.round(2 * F.col("least") / (F.col("ic_a") + F.col("ic_b")), 6)).alias("lin"))
+    shared = shared.select("a", "b", (F.round("most", 6) + 0.0).alias("res"), F.when(F.abs(apart) < 1e-12, F.lit(None)).otherwise(F.round(1 / apart, 6)).alias("jcn"), F.when(F.col("ic_a") + F.col("ic_b") == 0, 1.0).otherwise(F.round(2 * F.col("least") / (F.col("ic_a") + F.col("ic_b")), 6) + 0.0).alias("lin"))
     return out.join(shared, ["a", "b"])
 
 
