@@ -13,6 +13,7 @@ words of shared 5-word sequences form runs, which are reported where they are lo
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .cluster import checkpointed
 from .near_dup import sequence_keys
 from .textcore import buffers, mix, slices, words
 
@@ -78,6 +80,21 @@ def compact_windows(h: np.ndarray, at: np.ndarray, least: int) -> tuple[np.ndarr
     return a[wide], nodes[wide], b[wide]
 
 
+def packed(a: np.ndarray, c: np.ndarray, b: np.ndarray, f: int) -> np.ndarray:
+    """A window in 64 bits: its least place, how far it reaches to either side (up to 131,071
+    words; a wider window counts as so wide) and its hash function."""
+    far = (1 << 17) - 1
+    place = np.minimum(c, (1 << 28) - 1).astype(np.uint64)
+    return (place << _U(36) | np.minimum(c - a, far).astype(np.uint64) << _U(19) | np.minimum(b - c, far).astype(np.uint64) << _U(2) | _U(f)).view(np.int64)
+
+
+def unpacked(w: np.ndarray) -> tuple[np.ndarray, ...]:
+    """a, c, b and f."""
+    w = w.view(np.uint64)
+    c, far = (w >> _U(36)).astype(np.int64), _U((1 << 17) - 1)
+    return c - (w >> _U(19) & far).astype(np.int64), c, c + (w >> _U(2) & far).astype(np.int64), (w & _U(3)).astype(np.int64)
+
+
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     least = LEAST - SHINGLE + 1
     for batch in batches:
@@ -92,21 +109,20 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 doc = np.searchsorted(at, c, "right") - 1
                 base, key = at[doc], (h[c] & ~_U(3) | _U(f)).view(np.int64)
                 take = pa.array(doc)
-                yield pa.record_batch([pa.array(key), ids.take(take), *(pa.array((z - base).astype(np.int32)) for z in (a, c, b))], ["v", "id", "a", "c", "b"])
+                yield pa.record_batch([pa.array(key), ids.take(take), pa.array(packed(a - base, c - base, b - base, f))], ["v", "id", "w"])
 
 
-def candidates(link: dict[str, np.ndarray]) -> bool:
-    """Whether windows of enough hash functions intersect in a passage of both documents. A
-    link's windows span the same stretch around their least places; stretches are swept."""
-    least = LEAST - SHINGLE + 1
-    shift = link["yc"] - link["xc"]
-    a = np.maximum(link["xa"], link["ya"] - shift)
-    b = np.minimum(link["xb"], link["yb"] - shift)
-    f = link["f"]
+def candidates(x: np.ndarray, y: np.ndarray) -> bool:
+    """Whether linked windows of enough hash functions intersect in a passage of both documents:
+    with ``y`` laid on ``x`` at the least places, a link is an interval."""
+    xa, xc, xb, f = unpacked(x)
+    ya, yc, yb, _ = unpacked(y)
+    shift = yc - xc
+    a, b = np.maximum(xa, ya - shift), np.minimum(xb, yb - shift)
+    least = LEAST - 2 * SHINGLE
     for i in range(len(a)):
-        meet = np.minimum(b, b[i]) - np.maximum(a, a[i]) + 1 >= least - SHINGLE
-        near = np.abs(shift - shift[i]) <= GAP
-        if len(np.unique(f[meet & near])) >= ENOUGH:
+        meet = (np.minimum(b, b[i]) - np.maximum(a, a[i]) >= least) & (np.abs(shift - shift[i]) <= GAP)
+        if len(np.unique(f[meet])) >= ENOUGH:
             return True
     return False
 
@@ -158,12 +174,11 @@ def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flat = batch.column("links")
         for r in range(batch.num_rows):
             rows = flat[r].values
-            link = {name: rows.field(name).to_numpy() for name in ("f", "xa", "xc", "xb", "ya", "yc", "yb")}
-            if not candidates(link):
+            if not candidates(rows.field("xw").to_numpy(), rows.field("yw").to_numpy()):
                 continue
             both = []
             for text in (xs[r], ys[r]):
-                raw = text.as_buffer().to_pybytes()
+                raw = zlib.decompress(text.as_buffer())
                 both.append((raw, *words(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))))
             (xr, xb, xe, xv, _), (yr, yb, _, yv, _) = both
             runs = shared_runs(xv, yv)
@@ -194,6 +209,14 @@ def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch([batch.column(0).slice(i, j - i).take(pa.array(some)), *columns], ["id", "k", "n", "b", "e"])
 
 
+def _compressed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts as they are shuffled: once for all pairs of a document."""
+    for batch in batches:
+        data, offsets = buffers(batch.column(1))
+        raw = [zlib.compress(data[offsets[r] : offsets[r + 1]], 1) for r in range(batch.num_rows)]
+        yield pa.record_batch([batch.column(0), pa.array(raw, pa.binary())], ["id", "text"])
+
+
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, begin_char, end_char, n_words, matched_words, source_doc_id and
     source_begin_char: the characters begin_char to end_char (exclusive, from 0) of a document
@@ -209,19 +232,19 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     texts = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null and text is not null")
     members = texts.mapInArrow(_keyed, "id bigint, k bigint, n int, b int, e int")
     first = members.withColumn("first", F.min("id").over(Window.partitionBy("k")))
-    copies = first.where("id > first")
+    copies = checkpointed(first.where("id > first"))
     copied = copies.select(F.col("id").alias("doc_id"), F.col("b").alias("begin_char"), F.col("e").alias("end_char"), F.col("n").alias("n_words"), F.col("n").alias("matched_words"), F.col("first").alias("source_doc_id"), F.lit(None).cast("int").alias("source_begin_char"))
-    windows = texts.mapInArrow(_windows, "v bigint, id bigint, a int, c int, b int")
-    place = F.struct("id", "a", "c", "b")
-    order = Window.partitionBy("v").orderBy("id", "c")
+    windows = texts.mapInArrow(_windows, "v bigint, id bigint, w bigint")
+    place = F.struct("id", "w")
+    order = Window.partitionBy("v").orderBy("id", "w")
     # A group's first document is no copy: what it copied would come before it.
     linked = windows.withColumn("head", F.first(place).over(order)).withColumn("before", F.lag(place).over(order))
     linked = linked.where("head.id <> id").withColumn("other", F.explode(F.array_distinct(F.array("head", "before")))).where("other.id <> id")
-    link = F.struct(F.expr("cast(v & 3 as int)").alias("f"), F.col("a").alias("xa"), F.col("c").alias("xc"), F.col("b").alias("xb"), F.col("other.a").alias("ya"), F.col("other.c").alias("yc"), F.col("other.b").alias("yb"))
-    pairs = linked.select(F.col("id").alias("x"), F.col("other.id").alias("y"), link.alias("link"))
-    pairs = pairs.groupBy("x", "y").agg(F.collect_list("link").alias("links")).where(F.size(F.array_distinct(F.col("links.f"))) >= ENOUGH)
+    pairs = linked.select(F.col("id").alias("x"), F.col("other.id").alias("y"), F.struct(F.col("w").alias("xw"), F.col("other.w").alias("yw")).alias("link"))
+    pairs = pairs.groupBy("x", "y").agg(F.collect_list("link").alias("links")).where(F.size(F.array_distinct(F.transform("links", lambda p: p["xw"].bitwiseAND(F.lit(3))))) >= ENOUGH)
     pairs = pairs.join(copies.select(F.col("id").alias("x")).distinct(), "x", "left_anti")
-    met = pairs.join(texts.select(F.col("id").alias("x"), F.col("text").alias("x_text")), "x").join(texts.select(F.col("id").alias("y"), F.col("text").alias("y_text")), "y")
+    small = texts.mapInArrow(_compressed, "id bigint, text binary")
+    met = pairs.join(small.select(F.col("id").alias("x"), F.col("text").alias("x_text")), "x").join(small.select(F.col("id").alias("y"), F.col("text").alias("y_text")), "y")
     return met.mapInArrow(_compared, SPANS).union(copied).distinct()
 
 
