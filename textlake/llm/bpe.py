@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .pretokens import cuts, distinct
-from .textcore import SLICE, buffers, slices
+from .textcore import buffers, slices
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'(?:[stmd]|re|ve|ll)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -141,7 +141,7 @@ def encode(docs: DataFrame, vocabulary: str = VOCABULARY, id_col: str = "doc_id"
         for batch in batches:
             data, offsets = buffers(batch.column(1))
             missing = batch.column(1).is_null().to_numpy(zero_copy_only=False)
-            for i, j in slices(offsets, 4 * SLICE):
+            for i, j in slices(offsets):
                 part, at = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
                 ids, to = bpe.encode_all(part, at)
                 null, each = missing[i:j], ids.tolist()
