@@ -59,6 +59,8 @@ def compact_windows(h: np.ndarray, at: np.ndarray, least: int) -> tuple[np.ndarr
         best = np.where((h[other] < h[best]) & (np.arange(n) + step < n), other, best)
         reach += step
     nodes = np.unique(best[np.arange(n) + least - 1 <= last])
+    if len(nodes) == 0:
+        return nodes, nodes, nodes
     x = h[nodes]
     m = len(nodes)
     fence = first[nodes]
