@@ -26,7 +26,7 @@ def _file():
 
 def whole(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
     """file and text of every file below a path."""
-    rows = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", glob).text(path)
+    rows = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob).text(path, wholetext=True)
     return rows.select(_file().alias("file"), F.col("value").alias("text"))
 
 
