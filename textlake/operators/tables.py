@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 
 from .tokens import tokens
@@ -61,19 +65,19 @@ def long_words(docs: DataFrame, longer: int = 7, oftener: int = 7) -> DataFrame:
     return tokens(docs, keep=()).groupBy("word").agg(F.count("*").alias("freq")).where((F.length("word") > longer) & (F.col("freq") > oftener))
 
 
+_HITS = ArrayType(StructType([StructField("beg", IntegerType()), *(StructField(n, StringType()) for n in ("left", "match", "right"))]))
+
+
 def concordance(docs: DataFrame, word: str, width: int = 25) -> DataFrame:
-    """doc_id, nth, left, match and right: each whole-word match, any case, with its surroundings.
-
-    Places come from the lengths of what is split off, inside the row.
-    """
-    edge = r"[^\p{L}\p{N}_]"
-    pattern = rf"(?i)(?:^|{edge}){word}(?:$|{edge})"
-    rows = docs.where(F.col("text").rlike(pattern)).select("doc_id", "text", F.regexp_extract_all("text", F.lit(rf"[\p{{L}}\p{{N}}_]+|[^\p{{L}}\p{{N}}_]+"), F.lit(0)).alias("t"))
-    ends = F.aggregate("t", F.array(F.lit(0)), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + F.length(x))))
-    rows = rows.withColumn("ends", ends).select("doc_id", "text", "ends", F.posexplode("t").alias("i", "match")).where(F.lower("match") == word.lower())
-    rows = rows.withColumn("beg", F.element_at("ends", F.col("i") + 1)).withColumn("end", F.element_at("ends", F.col("i") + 2))
-    left = F.expr(f"substring(text, greatest(beg - {width}, 0) + 1, least(beg, {width}))")
-    return rows.select("doc_id", F.col("beg").alias("beg"), left.alias("left"), "match", F.expr(f"substring(text, end + 1, {width})").alias("right"))
+    """doc_id, beg, left, match and right: each whole-word match, any case, with its surroundings.
+    Only texts that contain the word reach the kernel."""
+    pattern = re.compile(rf"(?<!\w){re.escape(word)}(?!\w)", re.IGNORECASE)
+
+    def hits(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: [{"beg": m.start(), "left": t[max(0, m.start() - width) : m.start()], "match": m.group(), "right": t[m.end() : m.end() + width]} for m in pattern.finditer(t)])
+
+    some = docs.where(F.contains(F.lower("text"), F.lit(word.lower())))
+    return some.select("doc_id", F.explode(F.pandas_udf(hits, _HITS)("text")).alias("h")).select("doc_id", "h.*")
 
 
 def dominant(docs: DataFrame, condition: str, least: int = 20, share: float = 0.97) -> DataFrame:

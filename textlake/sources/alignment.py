@@ -2,16 +2,27 @@
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
+
+
+_WORDS = re.compile("[^ \t\n\r\f]+")
+_PLACED = ArrayType(StructType([StructField("word", StringType()), StructField("beg", IntegerType()), StructField("end", IntegerType())]))
+
+
+def _spans(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: None if t is None else [{"word": m.group(), "beg": m.start(), "end": m.end()} for m in _WORDS.finditer(t)])
 
 
 def placed(docs: DataFrame, text: str = "text") -> DataFrame:
-    """doc_id, tok_ix, word, beg and end of white-space words, computed inside the row."""
-    runs = docs.select("doc_id", F.regexp_extract_all(text, F.lit(r"[^ \t\n\r\f]+|[ \t\n\r\f]+"), F.lit(0)).alias("t"))
-    step = lambda acc, w: F.struct((acc["at"] + F.length(w)).alias("at"), F.when(w.rlike(r"^[^ \t\n\r\f]"), F.concat(acc["out"], F.array(F.struct(w.alias("word"), acc["at"].alias("beg"), (acc["at"] + F.length(w)).alias("end"))))).otherwise(acc["out"]).alias("out"))
-    start = F.struct(F.lit(0).alias("at"), F.from_json(F.lit("[]"), "array<struct<word:string,beg:int,end:int>>").alias("out"))
-    return runs.select("doc_id", F.posexplode(F.aggregate("t", start, step, lambda acc: acc["out"])).alias("tok_ix", "x")).select("doc_id", "tok_ix", "x.*")
+    """doc_id, tok_ix, word, beg and end of white-space words. Places are running sums, which
+    array expressions take square time for and a window a shuffle; the kernel needs neither."""
+    found = F.pandas_udf(_spans, _PLACED)(text)
+    return docs.select("doc_id", F.posexplode(found).alias("tok_ix", "x")).select("doc_id", "tok_ix", "x.*")
 
 
 def aligned(tokens: DataFrame, marks: DataFrame, stretch: int = 64) -> DataFrame:
