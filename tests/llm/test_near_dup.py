@@ -75,3 +75,29 @@ def test_components(spark):
     got = {r.id: r.root for r in nd.components(spark.createDataFrame(chain, "a bigint, b bigint")).collect()}
     assert got == {i: 0 for i in range(41)} | {i: 100 for i in range(100, 104)}
     assert nd.components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
+
+
+def test_hot_groups_leave_the_recall_of_weak_pairs(spark):
+    rng = random.Random(12)
+    hot = prose(rng, 150).split()
+    docs = [" ".join([*hot[:i], "changed", *hot[i + 1 :]]) for i in range(90)]
+    for _ in range(150):  # one changed word in nine leaves about half of the 3-grams
+        words = prose(rng, 90).split()
+        docs += [" ".join(words), " ".join("other" if i % 9 == 4 and i < 76 else w for i, w in enumerate(words))]
+    docs = list(enumerate(docs))
+    weak = {p for p, j in brute(docs, nd.THRESHOLD).items() if p[0] >= 90}
+    assert len(weak) == 150
+    found = expanded(nd.jaccard_join(spark.createDataFrame(docs, "doc_id bigint, text string")).collect())
+    assert len(weak & set(found)) >= 0.95 * len(weak)
+
+
+def test_lone_weak_pairs(spark):
+    rng = random.Random(15)
+    for _ in range(3):
+        words = prose(rng, 90).split()
+        docs = [(1, " ".join(words)), (2, " ".join("other" if i % 9 == 4 and i < 76 else w for i, w in enumerate(words)))]
+        assert set(expanded(nd.jaccard_join(spark.createDataFrame(docs, "doc_id bigint, text string")).collect())) == {(1, 2)}
+
+
+def test_prefix_depth():
+    assert [nd.prefix_depth(s, nd.RECALL) for s in (0.9, 0.5, 0.3, 0.01)] == [8, 3, 2, 1]

@@ -179,6 +179,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, recall: fl
         found = checkpointed(found)
         row = found.agg(F.count("*").alias("n"), F.count_if(F.col("side") != 2).alias("a"), F.count_if(F.col("side") != 1).alias("b"), F.count_if(F.col("side") == 3).alias("m")).first()
         every = (row["a"] + 1) * (row["b"] + 1) / (row["m"] + 1) - 1
-        if row["n"] >= recall * every or visits >= k * k:
+        # A round without pairs estimates nothing, so it isn't the last one.
+        if 0 < recall * every <= row["n"] or visits >= k * k:
             return found.drop("side")
         visits = min(2 * visits, k * k)

@@ -2,10 +2,10 @@
 
 Every document has ``TREES`` labels of ``DEPTH`` min-hashes. The labels of each tree are kept
 sorted, which makes them a prefix trie; a pair of documents is a candidate once their labels
-in some tree share a prefix of the current depth. Depth is shortened round by round until the
-recall, estimated from the verified pairs, reaches the target: a pair of similarity s is found
-at depth d with probability P = 1 - (1 - s^d)^TREES, so each verified pair stands for 1 / P
-pairs. Candidates are verified exactly on their n-gram sets.
+in some tree share a prefix. A pair of similarity s is found at depth d with probability
+1 - (1 - s^d)^TREES; prefixes are shortened until that is the target for a pair at the threshold
+itself, so what is found of a pair doesn't depend on the other pairs of a corpus. Candidates are
+verified exactly on their n-gram sets.
 
 Documents of equal word sequences are collapsed first, so groups of copies cost and yield one
 row. For verification, pairs meet at a run of a trie that holds both; a text is sent once to
@@ -26,8 +26,6 @@ from .textcore import buffers, mix, ngrams, slices, words
 
 GRAM, THRESHOLD, RECALL = 3, 0.5, 0.95
 TREES, DEPTH = 32, 8
-#: Prefix lengths of the rounds; the last one has the target recall at the threshold itself.
-DEPTHS = (6, 5, 4, 3)
 _U = np.uint64
 _random = np.random.default_rng(20240229)
 _A = (_random.integers(0, 1 << 32, TREES * DEPTH, np.uint64) | _U(1)).astype(np.uint32)
@@ -36,6 +34,12 @@ KEYS = ["id", "k"]
 PAIR = ["a_id", "a_k", "b_id", "b_k"]
 
 
+def prefix_depth(threshold: float, recall: float) -> int:
+    """The longest prefix at which a pair at the threshold is found with the target's probability
+    (1 if there is none)."""
+    return next((d for d in range(DEPTH, 1, -1) if 1 - (1 - threshold**d) ** TREES >= recall), 1)
+
+
 def sequence_keys(value: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     """A hash of each document's sequence of words."""
     counts = np.diff(bounds)
@@ -69,18 +73,23 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch([ids, pa.array(sequence_keys(value, bounds)[some]), rows], ["id", "k", "sign"])
 
 
-def _labels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        n = batch.num_rows
-        if n == 0:
-            continue
-        data, _ = buffers(batch.column(2))
-        sign = data.view(np.uint16).reshape(n, TREES, 2, 4).astype(np.uint64)
-        packed = (sign[..., 0] << _U(48) | sign[..., 1] << _U(32) | sign[..., 2] << _U(16) | sign[..., 3]).view(np.int64)
-        tree = np.tile(np.arange(TREES, dtype=np.int32), n)
-        ids, k = np.repeat(batch.column(0).to_numpy(), TREES), np.repeat(batch.column(1).to_numpy(), TREES)
-        hi, lo = packed[:, :, 0].ravel(), packed[:, :, 1].ravel()
-        yield pa.record_batch([pa.array(tree), pa.array(hi >> 16), pa.array(hi), pa.array(lo), pa.array(ids), pa.array(k)], ["tree", "root", "hi", "lo", "id", "k"])
+def _labels(depth: int):
+    """Rows of the tries; those of a root may share a prefix of a depth."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = batch.num_rows
+            if n == 0:
+                continue
+            data, _ = buffers(batch.column(2))
+            sign = data.view(np.uint16).reshape(n, TREES, 2, 4).astype(np.uint64)
+            packed = (sign[..., 0] << _U(48) | sign[..., 1] << _U(32) | sign[..., 2] << _U(16) | sign[..., 3]).view(np.int64)
+            tree = np.tile(np.arange(TREES, dtype=np.int32), n)
+            ids, k = np.repeat(batch.column(0).to_numpy(), TREES), np.repeat(batch.column(1).to_numpy(), TREES)
+            hi, lo = packed[:, :, 0].ravel(), packed[:, :, 1].ravel()
+            yield pa.record_batch([pa.array(tree), pa.array(hi >> 16 * (4 - min(depth, 3))), pa.array(hi), pa.array(lo), pa.array(ids), pa.array(k)], ["tree", "root", "hi", "lo", "id", "k"])
+
+    return work
 
 
 def _runs(tree: np.ndarray, hi: np.ndarray, lo: np.ndarray, depth: int) -> np.ndarray:
@@ -90,8 +99,8 @@ def _runs(tree: np.ndarray, hi: np.ndarray, lo: np.ndarray, depth: int) -> np.nd
     return np.cumsum(new) - 1
 
 
-def _matches(depth: int, before: int | None):
-    """Pairs whose labels share ``depth`` places but not ``before``, from sorted tries."""
+def _matches(depth: int):
+    """Pairs whose labels share ``depth`` places, from sorted tries."""
 
     def of(table: pa.Table) -> Iterator[pa.RecordBatch]:
         tree, hi, lo, ids, k = (table[c].to_numpy() for c in ("tree", "hi", "lo", "id", "k"))
@@ -100,7 +109,6 @@ def _matches(depth: int, before: int | None):
         keep = np.flatnonzero(many[run] > 1)
         if len(keep) == 0:
             return
-        old = _runs(tree, hi, lo, before)[keep] if before else np.arange(len(keep))
         tree, hi, lo, ids, k, run = (x[keep] for x in (tree, hi, lo, ids, k, run))
         part = lo >> (16 * (8 - depth)) if depth > 4 else np.full(len(lo), depth)
         home = mix(mix((hi >> (16 * max(0, 4 - depth))).view(np.uint64) + _U(7) * tree.astype(np.uint64)) + part.view(np.uint64)).view(np.int64)
@@ -108,8 +116,7 @@ def _matches(depth: int, before: int | None):
         while len(i):
             i = i[i + step < len(run)]
             i = i[run[i] == run[i + step]]
-            fresh = i[old[i] != old[i + step]] if before else i
-            x, y = fresh, fresh + step
+            x, y = i, i + step
             swap = (ids[x] > ids[y]) | ((ids[x] == ids[y]) & (k[x] > k[y]))
             x, y = np.where(swap, y, x), np.where(swap, x, y)
             for s in range(0, len(x), 100_000):
@@ -163,26 +170,16 @@ def similar(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECAL
     signed = texts.mapInArrow(_signed, "id bigint, k bigint, sign binary")
     members = checkpointed(signed.groupBy("k").agg(F.min(F.struct("id", "sign")).alias("least"), F.sort_array(F.collect_set("id")).alias("doc_ids")).select(F.col("least.id").alias("id"), "k", F.col("least.sign").alias("sign"), "doc_ids"))
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    labels = members.select("id", "k", "sign").mapInArrow(_labels, "tree int, root bigint, hi bigint, lo bigint, id bigint, k bigint")
-    tries = checkpointed(labels.repartition(parts, "tree", "root").sortWithinPartitions("tree", "root", "hi", "lo"))
-    tried = found = None
-    for n, depth in enumerate(DEPTHS):
-        pairs = tries.mapInArrow(_matches(depth, DEPTHS[n - 1] if n else None), "a_id bigint, a_k bigint, b_id bigint, b_k bigint, home bigint")
-        pairs = pairs.groupBy(*PAIR).agg(F.min("home").alias("home"))
-        if tried is not None:
-            pairs = pairs.join(tried.select(*PAIR), PAIR, "left_anti")
-        pairs = checkpointed(pairs)
-        needed = pairs.select("home", F.col("a_id").alias("id"), F.col("a_k").alias("k")).union(pairs.select("home", "b_id", "b_k")).distinct()
-        sent = needed.join(texts, "id").select("home", F.lit(0).alias("kind"), F.col("id").alias("a_id"), F.col("k").alias("a_k"), F.lit(0).cast("bigint").alias("b_id"), F.lit(0).cast("bigint").alias("b_k"), "text")
-        asked = pairs.select("home", F.lit(1).alias("kind"), *PAIR, F.lit(None).cast("string").alias("text"))
-        meet = sent.union(asked).repartition(parts, "home").sortWithinPartitions("home", "kind")
-        good = checkpointed(meet.mapInArrow(_verified(threshold), "a_id bigint, a_k bigint, b_id bigint, b_k bigint, jaccard double"))
-        tried = pairs if tried is None else tried.union(pairs)
-        found = good if found is None else found.union(good)
-        chance = 1 - F.pow(1 - F.pow("jaccard", F.lit(depth)), F.lit(TREES))
-        row = found.agg(F.count("*").alias("n"), F.sum(1 / chance).alias("all")).first()
-        if row["n"] >= recall * (row["all"] or 0):
-            break
+    depth = prefix_depth(threshold, recall)
+    labels = members.select("id", "k", "sign").mapInArrow(_labels(depth), "tree int, root bigint, hi bigint, lo bigint, id bigint, k bigint")
+    tries = labels.repartition(parts, "tree", "root").sortWithinPartitions("tree", "root", "hi", "lo")
+    pairs = tries.mapInArrow(_matches(depth), "a_id bigint, a_k bigint, b_id bigint, b_k bigint, home bigint")
+    pairs = checkpointed(pairs.groupBy(*PAIR).agg(F.min("home").alias("home")))
+    needed = pairs.select("home", F.col("a_id").alias("id"), F.col("a_k").alias("k")).union(pairs.select("home", "b_id", "b_k")).distinct()
+    sent = needed.join(texts, "id").select("home", F.lit(0).alias("kind"), F.col("id").alias("a_id"), F.col("k").alias("a_k"), F.lit(0).cast("bigint").alias("b_id"), F.lit(0).cast("bigint").alias("b_k"), "text")
+    asked = pairs.select("home", F.lit(1).alias("kind"), *PAIR, F.lit(None).cast("string").alias("text"))
+    meet = sent.union(asked).repartition(parts, "home").sortWithinPartitions("home", "kind")
+    found = checkpointed(meet.mapInArrow(_verified(threshold), "a_id bigint, a_k bigint, b_id bigint, b_k bigint, jaccard double"))
     return members.drop("sign"), found
 
 
