@@ -136,6 +136,11 @@ def _asked(threshold: float, d: int):
     return lambda batches: whole_groups(batches, ["cell"], of)
 
 
+def complete(n: int, every: float, recall: float) -> bool:
+    """Whether n pairs are enough of the estimate; a round without pairs estimates nothing."""
+    return 0 < recall * every <= n
+
+
 def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """vec_id_a < vec_id_b and their cosine, for pairs whose cosine is ``threshold`` at least.
 
@@ -179,7 +184,6 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, recall: fl
         found = checkpointed(found)
         row = found.agg(F.count("*").alias("n"), F.count_if(F.col("side") != 2).alias("a"), F.count_if(F.col("side") != 1).alias("b"), F.count_if(F.col("side") == 3).alias("m")).first()
         every = (row["a"] + 1) * (row["b"] + 1) / (row["m"] + 1) - 1
-        # A round without pairs estimates nothing, so it isn't the last one.
-        if 0 < recall * every <= row["n"] or visits >= k * k:
+        if complete(row["n"], every, recall) or visits >= k * k:
             return found.drop("side")
         visits = min(2 * visits, k * k)
