@@ -92,3 +92,43 @@ def test_odd_rows(odd_docs, no_docs):
     assert kept.columns == odd_docs.columns
     assert sorted(r.doc_id or 0 for r in kept.collect()) == [0, 1, 2, 3, 3, 4, 4, 5, 7, 8]
     assert ps.passages_removed(no_docs).count() == 0
+
+
+def test_least_after():
+    rng = np.random.default_rng(2)
+    at = np.array([0, 9, 9, 30, 31])
+    h, last = rng.integers(0, 99, 31).astype(np.uint64), np.repeat(at[1:] - 1, np.diff(at))
+    for far in (1, 5, 8):
+        want = [min((int(x) for x in h[i + 1 : min(i + far, last[i]) + 1]), default=2**64 - 1) for i in range(31)]
+        assert ps.least_after(h, last, far).tolist() == want
+
+
+def test_edited_passages(spark):
+    """Passages of 50 to 100 words with an edit every 10 to 20 words, against brute force."""
+    rng = random.Random(21)
+    docs = []
+    for i in range(120):
+        passage, every = prose(rng, rng.randint(50, 100)).split(), rng.randint(10, 20)
+        docs.append((2 * i, f"{prose(rng, 70)} {' '.join(passage)} {prose(rng, 40)}"))
+        edited = ["edit" + prose(rng, 1) if k % every == every // 2 else w for k, w in enumerate(passage)]
+        docs.append((2 * i + 1, f"{prose(rng, 30)} {' '.join(edited)} {prose(rng, 90)}"))
+    hashed = [np.array([hash(w) & (1 << 63) - 1 for w in t.split()], np.uint64) for _, t in docs]
+    true = {2 * i + 1 for i in range(120) if ps.shared_runs(hashed[2 * i + 1], hashed[2 * i])}
+    assert len(true) > 60
+    rows = ps.repeated_passages(spark.createDataFrame(docs, "doc_id bigint, text string")).collect()
+    assert len(true & {r.doc_id for r in rows if r.source_doc_id == r.doc_id - 1}) >= 0.9 * len(true)
+
+
+def test_passages_beside_a_hot_text(spark):
+    """A text of 35 words is in all documents; some share 20 words more, after or before it."""
+    rng = random.Random(23)
+    hot, docs = prose(rng, 35), [[prose(rng, 60), "", "", prose(rng, 60)] for _ in range(800)]
+    for i in range(100):
+        more = prose(rng, 20)
+        for d in (100 + i, 500 + 3 * i):
+            docs[d][1 if i % 2 else 2] = more
+    texts = [" ".join([a, b, hot, c, d]) for a, b, c, d in docs]
+    rows = ps.repeated_passages(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()
+    found = {(r.source_doc_id, r.doc_id) for r in rows}
+    true = {(100 + i, 500 + 3 * i) for i in range(100)}
+    assert found <= true and len(found) >= 0.97 * len(true)

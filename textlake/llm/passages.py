@@ -5,9 +5,11 @@ functions the Cartesian tree of the tokens' hashes groups all subsequences of at
 ``LEAST`` words by the place of their least hash: a compact window (a, c, b) stands for every
 subsequence that begins in a..c and ends in c..b, all of which share the min-hash at c. The
 windows of equal min-hashes are brought together; each is linked to that of the group's
-first document and to that of the document before its own, so a passage in m documents costs
-m links and not their square. Two documents are compared if the linked windows of ``ENOUGH``
-hash functions intersect in both in a passage of the least length. A comparison is exact: the
+first document and to that of the document before its own, and likewise within those of the group
+that also share the least hash of so many words (``BESIDE``) to the left, or to the right, so a
+passage in m documents costs at most 10 m links and not their square, and a text that very many documents share
+doesn't hide what only some share beside it. Two documents are compared if the linked windows of
+``ENOUGH`` hash functions intersect in both in a passage of the least length. A comparison is exact: the
 words of shared 5-word sequences form runs, which are reported where they are long and dense.
 """
 
@@ -26,8 +28,11 @@ from .near_dup import sequence_keys
 from .textcore import buffers, mix, slices, words
 
 #: Words of the shortest passage, of a token of a window and of a token of the comparison.
-LEAST, SHINGLE, EXACT = 50, 10, 5
-HASHES, ENOUGH = 4, 2
+LEAST, SHINGLE, EXACT = 50, 5, 5
+HASHES, ENOUGH = 4, 1
+#: Tokens to each side of a window's least place whose least hashes part large groups.
+BESIDE = (16, 40)
+SIDES = [f"{side}{far}" for far in BESIDE for side in ("left", "right")]
 #: Words without a match that a run may hold at a stretch, and its least share of matched words.
 GAP, DENSE = 10, 0.8
 _U = np.uint64
@@ -82,6 +87,21 @@ def compact_windows(h: np.ndarray, at: np.ndarray, least: int) -> tuple[np.ndarr
     return a[wide], nodes[wide], b[wide]
 
 
+def least_after(h: np.ndarray, last: np.ndarray, far: int) -> np.ndarray:
+    """The least hash of the ``far`` tokens after each one, within its document."""
+    n = len(h)
+    place = np.arange(n)
+    best = np.full(n, ~_U(0))
+    best[:-1] = np.where(place[:-1] < last[:-1], h[1:], best[:-1])
+    reach = 1
+    while reach < far:
+        step = min(reach, far - reach)
+        other = best[np.minimum(place + step, n - 1)]
+        best = np.where(place + step <= last, np.minimum(best, other), best)
+        reach += step
+    return best
+
+
 def packed(a: np.ndarray, c: np.ndarray, b: np.ndarray, f: int) -> np.ndarray:
     """A window in 64 bits: its least place, how far it reaches to either side (up to 131,071
     words; a wider window counts as so wide) and its hash function."""
@@ -105,13 +125,19 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             _, _, value, bounds = words(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
             token, at = shingles(value, bounds, SHINGLE)
             ids = batch.column(0).slice(i, j - i)
+            sizes = np.diff(at)
+            last, turned = np.repeat(at[1:] - 1, sizes), np.repeat(at[-1] - 1 - at[:-1], sizes)[::-1]
             for f in range(HASHES):
                 h = mix(token + _U(0x632BE59BD9B4E019 * (f + 1) & 0xFFFFFFFFFFFFFFFF))
                 a, c, b = compact_windows(h, at, least)
                 doc = np.searchsorted(at, c, "right") - 1
                 base, key = at[doc], (h[c] & ~_U(3) | _U(f)).view(np.int64)
                 take = pa.array(doc)
-                yield pa.record_batch([pa.array(key), ids.take(take), pa.array(packed(a - base, c - base, b - base, f))], ["v", "id", "w"])
+                sides = []
+                for far in BESIDE:
+                    sides += [least_after(h[::-1], turned, far)[::-1][c], least_after(h, last, far)[c]]
+                sides = [pa.array((x >> _U(32)).astype(np.uint32).view(np.int32)) for x in sides]
+                yield pa.record_batch([pa.array(key), ids.take(take), pa.array(packed(a - base, c - base, b - base, f)), *sides], ["v", "id", "w", *SIDES])
 
 
 def candidates(x: np.ndarray, y: np.ndarray) -> bool:
@@ -236,12 +262,12 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     first = members.withColumn("first", F.min("id").over(Window.partitionBy("k")))
     copies = checkpointed(first.where("id > first"))
     copied = copies.select(F.col("id").alias("doc_id"), F.col("b").alias("begin_char"), F.col("e").alias("end_char"), F.col("n").alias("n_words"), F.col("n").alias("matched_words"), F.col("first").alias("source_doc_id"), F.lit(None).cast("int").alias("source_begin_char"))
-    windows = texts.mapInArrow(_windows, "v bigint, id bigint, w bigint")
+    windows = texts.mapInArrow(_windows, f"v bigint, id bigint, w bigint, {' int, '.join(SIDES)} int")
     place = F.struct("id", "w")
-    order = Window.partitionBy("v").orderBy("id", "w")
     # A group's first document is no copy: what it copied would come before it.
-    linked = windows.withColumn("head", F.first(place).over(order)).withColumn("before", F.lag(place).over(order))
-    linked = linked.where("head.id <> id").withColumn("other", F.explode(F.array_distinct(F.array("head", "before")))).where("other.id <> id")
+    lesser = [Window.partitionBy("v", *side).orderBy("id").rangeBetween(Window.unboundedPreceding, -1) for side in ([], *([x] for x in SIDES))]
+    linked = windows.withColumn("others", F.array(*(of(place).over(group) for group in lesser for of in (F.min, F.max))))
+    linked = linked.select("id", "w", F.explode(F.array_distinct("others")).alias("other")).where("other is not null")
     pairs = linked.select(F.col("id").alias("x"), F.col("other.id").alias("y"), F.struct(F.col("w").alias("xw"), F.col("other.w").alias("yw")).alias("link"))
     pairs = pairs.groupBy("x", "y").agg(F.collect_list("link").alias("links")).where(F.size(F.array_distinct(F.transform("links", lambda p: p["xw"].bitwiseAND(F.lit(3))))) >= ENOUGH)
     pairs = pairs.join(copies.select(F.col("id").alias("x")).distinct(), "x", "left_anti")
