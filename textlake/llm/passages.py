@@ -32,7 +32,6 @@ LEAST, SHINGLE, EXACT = 50, 5, 5
 HASHES, ENOUGH = 4, 1
 #: Tokens to each side of a window's least place whose least hashes part large groups.
 BESIDE = (16, 40)
-SIDES = [f"{side}{far}" for far in BESIDE for side in ("left", "right")]
 #: Words without a match that a run may hold at a stretch, and its least share of matched words.
 GAP, DENSE = 10, 0.8
 _U = np.uint64
@@ -133,11 +132,11 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 doc = np.searchsorted(at, c, "right") - 1
                 base, key = at[doc], (h[c] & ~_U(3) | _U(f)).view(np.int64)
                 take = pa.array(doc)
-                sides = []
+                sides = np.zeros(len(c), np.uint64)  # 16 bits of the least hash of either side and distance
                 for far in BESIDE:
-                    sides += [least_after(h[::-1], turned, far)[::-1][c], least_after(h, last, far)[c]]
-                sides = [pa.array((x >> _U(32)).astype(np.uint32).view(np.int32)) for x in sides]
-                yield pa.record_batch([pa.array(key), ids.take(take), pa.array(packed(a - base, c - base, b - base, f)), *sides], ["v", "id", "w", *SIDES])
+                    for least_beside in (least_after(h[::-1], turned, far)[::-1], least_after(h, last, far)):
+                        sides = sides << _U(16) | mix(least_beside[c]) >> _U(48)
+                yield pa.record_batch([pa.array(key), ids.take(take), pa.array(packed(a - base, c - base, b - base, f)), pa.array(sides.view(np.int64))], ["v", "id", "w", "sides"])
 
 
 def candidates(x: np.ndarray, y: np.ndarray) -> bool:
@@ -194,16 +193,20 @@ def _characters(data: bytes, places: list[int]) -> list[int]:
 SPANS = "doc_id bigint, begin_char int, end_char int, n_words int, matched_words int, source_doc_id bigint, source_begin_char int"
 
 
+def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pairs that are to be compared, before their texts are fetched."""
+    for batch in batches:
+        flat = batch.column("links")
+        keep = [candidates(rows.field("xw").to_numpy(), rows.field("yw").to_numpy()) for rows in (flat[r].values for r in range(batch.num_rows))]
+        yield batch.select(["x", "y"]).filter(pa.array(keep, pa.bool_()))
+
+
 def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = [s.split()[0] for s in SPANS.split(", ")]
     for batch in batches:
         out: list[tuple] = []
         xs, ys = batch.column("x_text"), batch.column("y_text")
-        flat = batch.column("links")
         for r in range(batch.num_rows):
-            rows = flat[r].values
-            if not candidates(rows.field("xw").to_numpy(), rows.field("yw").to_numpy()):
-                continue
             both = []
             for text in (xs[r], ys[r]):
                 raw = zlib.decompress(text.as_buffer())
@@ -262,15 +265,16 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     first = members.withColumn("first", F.min("id").over(Window.partitionBy("k")))
     copies = checkpointed(first.where("id > first"))
     copied = copies.select(F.col("id").alias("doc_id"), F.col("b").alias("begin_char"), F.col("e").alias("end_char"), F.col("n").alias("n_words"), F.col("n").alias("matched_words"), F.col("first").alias("source_doc_id"), F.lit(None).cast("int").alias("source_begin_char"))
-    windows = texts.mapInArrow(_windows, f"v bigint, id bigint, w bigint, {' int, '.join(SIDES)} int")
+    windows = texts.mapInArrow(_windows, "v bigint, id bigint, w bigint, sides bigint")
     place = F.struct("id", "w")
     # A group's first document is no copy: what it copied would come before it.
-    lesser = [Window.partitionBy("v", *side).orderBy("id").rangeBetween(Window.unboundedPreceding, -1) for side in ([], *([x] for x in SIDES))]
+    beside = [F.shiftright("sides", 16 * i).bitwiseAND(F.lit(0xFFFF)) for i in range(2 * len(BESIDE))]
+    lesser = [Window.partitionBy("v", *side).orderBy("id").rangeBetween(Window.unboundedPreceding, -1) for side in ([], *([x] for x in beside))]
     linked = windows.withColumn("others", F.array(*(of(place).over(group) for group in lesser for of in (F.min, F.max))))
     linked = linked.select("id", "w", F.explode(F.array_distinct("others")).alias("other")).where("other is not null")
     pairs = linked.select(F.col("id").alias("x"), F.col("other.id").alias("y"), F.struct(F.col("w").alias("xw"), F.col("other.w").alias("yw")).alias("link"))
     pairs = pairs.groupBy("x", "y").agg(F.collect_list("link").alias("links")).where(F.size(F.array_distinct(F.transform("links", lambda p: p["xw"].bitwiseAND(F.lit(3))))) >= ENOUGH)
-    pairs = pairs.join(copies.select(F.col("id").alias("x")).distinct(), "x", "left_anti")
+    pairs = pairs.join(copies.select(F.col("id").alias("x")).distinct(), "x", "left_anti").mapInArrow(_met, "x bigint, y bigint")
     small = texts.mapInArrow(_compressed, "id bigint, text binary")
     met = pairs.join(small.select(F.col("id").alias("x"), F.col("text").alias("x_text")), "x").join(small.select(F.col("id").alias("y"), F.col("text").alias("y_text")), "y")
     return met.mapInArrow(_compared, SPANS).union(copied).distinct()
