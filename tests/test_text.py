@@ -106,3 +106,15 @@ def test_lemmas(spark):
     words = spark.createDataFrame([("ties",), ("was",), ("boat",), ("be",)], "word string")
     got = {r.word: (r.lemma, r.lemma_tag) for r in lexics.lemmatized(words, lexics.dictionary(spark)).collect()}
     assert got == {"ties": ("tie", "NN"), "was": ("be", "VB"), "boat": ("boat", None), "be": ("be", "VB")}
+
+
+def test_markov_walk_has_all_transitions(spark, tmp_path):
+    from textlake import queries
+    from textlake.operators import language_model, ngrams
+
+    rows = [(1, "the cat saw the dog and the cat ran"), (2, "a dog saw a cat"), (3, "the bird sang " * 12)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    got = [r.word for r in queries.queries()["markov_generate"](spark, str(tmp_path)).orderBy("pos").collect()]
+    every = [tuple(r) for r in ngrams.transitions(df).select("prefix", "word", "weight").collect()]
+    assert got == language_model.generated(every, 200, 11) and {"cat", "dog"} <= set(got)

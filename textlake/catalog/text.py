@@ -351,6 +351,5 @@ def lm_perplexity(spark, d):
 
 @query()
 def markov_generate(spark, d):
-    rows = N.transitions(docs(spark, d)).where("freq > 9").select("prefix", "word", "weight").collect()
-    words = lm.generated([tuple(r) for r in rows], 200, 11)
+    words = lm.walked(N.transitions(docs(spark, d)), 200, 11)
     return spark.createDataFrame(list(enumerate(words)), "pos int, word string")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 from bisect import bisect
+from itertools import accumulate
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -91,3 +92,25 @@ def generated(transitions: list[tuple[str, str, float]], length: int, seed: int,
         out.append(word)
         state = [word, *state[:-1]]
     return out
+
+
+def walked(table: DataFrame, length: int, seed: int, start: str = "¶", order: int = 1) -> list[str]:
+    """The walk of ``generated`` over a table of all transitions, which stays distributed: only
+    the rows of visited prefixes are collected, once each."""
+    steps = table.select("prefix", "word", "weight").persist()
+    draw, out, state, known = random.Random(seed), [], [start] * order, {}
+    while len(out) < length:
+        prefix = " ".join(state)
+        if prefix not in known:
+            rows = sorted((r["word"], r["weight"]) for r in steps.where(F.col("prefix") == prefix).collect())
+            known[prefix] = ([w for w, _ in rows], list(accumulate(x for _, x in rows)))
+        words, sums = known[prefix]
+        if not words:
+            if state == [start] * order:
+                break
+            state = [start] * order
+            continue
+        out.append(words[min(bisect(sums, draw.random() * sums[-1]), len(words) - 1)])
+        state = [out[-1], *state[:-1]]
+    steps.unpersist()
+    return out
