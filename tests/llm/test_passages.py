@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 
 from textlake.llm import passages as ps
 
@@ -27,9 +28,79 @@ def test_windows_are_the_cartesian_tree():
 
 
 def test_packing():
-    a, c, b = np.array([0, 5, 7]), np.array([0, 9, 500]), np.array([60, 9, 501])
-    x = ps.unpacked(ps.packed(a, c, b, 3))
-    assert [z.tolist() for z in x] == [a.tolist(), c.tolist(), b.tolist(), [3, 3, 3]]
+    rng = np.random.default_rng(8)
+    sides = [rng.integers(0, 1 << 63, 3).astype(np.uint64) for _ in range(2 * len(ps.BESIDE))]
+    s = ps.packed(np.array([0, 4, 500]), np.array([60, 0, 100_000]), sides)
+    left, right = ps.reaches(s)
+    assert left.tolist() == [0, 4, 127] and right.tolist() == [60, 0, 127]
+    assert min(127, 127) >= ps.LEAST
+    for i, side in enumerate(reversed(sides)):
+        assert (ps.side_of(s, i) == (side >> np.uint64(52)).astype(np.int64)).all()
+
+
+def rows_of(rng, n):
+    """Rows in few groups with few sides, sorted as they come."""
+    v, ids = rng.integers(0, 6, n), rng.integers(0, 40, n)
+    order = np.lexsort((ids, v))
+    sides = [rng.integers(0, 3, n).astype(np.uint64) << np.uint64(62) for _ in range(2 * len(ps.BESIDE))]
+    return v[order], ids[order], ids[order] * 7, ps.packed(rng.integers(0, 60, n), rng.integers(0, 60, n), sides)
+
+
+def walked(v, ids, s):
+    """The links of ``ps.links`` by their definition."""
+    (left, right), out = ps.reaches(s), set()
+    for x in range(len(v)):
+        for i in range(-1, 2 * len(ps.BESIDE)):
+            own = [y for y in range(len(v)) if v[y] == v[x] and ids[y] < ids[x] and (i < 0 or ps.side_of(s[[y]], i) == ps.side_of(s[[x]], i))]
+            for y in own[:1] + own[-1:]:
+                if min(left[x], left[y]) + min(right[x], right[y]) + 1 >= ps.LEAST - 2 * ps.SHINGLE:
+                    out.add((x, y))
+    return out
+
+
+def test_links_by_definition():
+    rng = np.random.default_rng(4)
+    for n in (0, 1, 2, 30, 80):
+        for _ in range(5):
+            v, ids, _, s = rows_of(rng, n)
+            x, y, _ = ps.links(v, ids, s)
+            assert set(zip(x.tolist(), y.tolist(), strict=True)) == walked(v, ids, s)
+
+
+def test_blocks_leave_no_link_out(monkeypatch):
+    rng = np.random.default_rng(6)
+    v, ids, t, s = rows_of(rng, 400)
+    t = np.arange(400)
+    batches = [pa.record_batch([pa.array(c[i : i + 7]) for c in (v, ids, t, s)], ["v", "id", "t", "s"]) for i in range(0, 400, 7)]
+
+    def got(size):
+        monkeypatch.setattr(ps, "BLOCK", size)
+        out = {}
+        for b in ps._linked(iter(batches)):
+            for r in b.to_pylist():
+                out[r["xt"], r["yt"]] = out.get((r["xt"], r["yt"]), 0) + r["votes"]
+        return out
+
+    whole = got(10_000)
+    assert got(1) == got(20) == whole and len(whole) > 400
+    assert set(whole) == walked(v, ids, s)
+
+
+def test_hot_groups_are_parted():
+    rng = np.random.default_rng(7)
+    n = 300
+    v = np.where(np.arange(n) < 100, 5, np.where(np.arange(n) < 120, 6, 100 + np.arange(n)))
+    ids = rng.permutation(n)
+    _, _, _, s = rows_of(rng, n)
+    own, new_ids, t, new_s = ps.parted([v, ids, ids, s], 9)
+    assert (own[:100] != 5).all() and len(set(own[:100].tolist())) == 1 and (own[100:n] == v[100:]).all()
+    top = set(new_ids[n:].tolist())
+    assert (own[n:] == 5).all() and min(ids[:100]) in top and len(top) <= 1 + 3 * 2 * len(ps.BESIDE)
+    for i in range(2 * len(ps.BESIDE)):
+        for side in range(1 << ps.SIDE):
+            of = ids[:100][ps.side_of(s[:100], i) == side]
+            assert len(of) == 0 or min(of) in top
+    assert ps.parted([v, ids, ids, s], 10)[0][0] != own[0]
 
 
 def corpus():
@@ -94,6 +165,36 @@ def test_odd_rows(odd_docs, no_docs):
     assert ps.passages_removed(no_docs).count() == 0
 
 
+def all_pairs(docs):
+    """(doc_id, text, source id, words) of the repeats between any two texts of different ids."""
+    hashed = [(i, t, np.array([hash(w) & (1 << 63) - 1 for w in t.split()], np.uint64)) for i, t in docs]
+    return {(i, t, j, e - s) for i, t, x in hashed for j, _, y in hashed if j < i for s, e, *_ in ps.shared_runs(x, y)}
+
+
+def test_texts_of_one_id_are_told_apart(spark):
+    rng = random.Random(33)
+    passage, other, a = prose(rng, 60), prose(rng, 130), prose(rng, 120)
+    docs = [(1, f"{passage} {prose(rng, 30)}"), (2, f"{prose(rng, 40)} {passage}"), (2, other), (3, a), (4, a), (4, f"{prose(rng, 20)} {' '.join(other.split()[30:100])}"), (5, other)]
+    frame = spark.createDataFrame(docs, "doc_id bigint, text string")
+    got = {(r.doc_id, r.source_doc_id, r.n_words) for r in ps.repeated_passages(frame).collect()}
+    want = all_pairs(docs)
+    assert got <= {(i, j, n) for i, _, j, n in want}
+    assert {(i, n) for i, _, n in got} == {(i, n) for i, _, _, n in want}  # a source of each passage
+    left = sorted((r.doc_id, r.text) for r in ps.passages_removed(frame).collect())
+    cut = {(2, docs[1][1]): docs[1][1].removesuffix(passage).strip(), (4, docs[5][1]): " ".join(docs[5][1].split()[:20])}
+    assert left == sorted((i, cut.get((i, t), t)) for i, t in docs if (i, t) not in {(4, a), (5, other)})
+
+
+def test_clashing_columns(spark):
+    rng = random.Random(34)
+    a = prose(rng, 60)
+    names = ["id", "t", "v", "x", "xt", "y", "yt", "of", "own", "cuts", "_of", "_cuts", "__id", "__spans"]
+    docs = spark.createDataFrame([(i, t, *range(len(names))) for i, t in ((1, a), (2, f"more {a}"), (3, "x"))], "doc_id bigint, text string, " + ", ".join(f"`{n}` int" for n in names))
+    kept = ps.passages_removed(docs)
+    assert kept.columns == docs.columns and {r.doc_id: r.text for r in kept.collect()} == {1: a, 2: "more", 3: "x"}
+    assert {(r.doc_id, r.source_doc_id) for r in ps.repeated_passages(docs).collect()} == {(2, 1)}
+
+
 def test_least_after():
     rng = np.random.default_rng(2)
     at = np.array([0, 9, 9, 30, 31])

@@ -9,24 +9,46 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Shuffle files of an execution are removed at its end; none of them is read later.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder of spark.checkpoint.dir, which all executors share; only where that is
-    unset (tests), a temporary one."""
+    unset and the master is local (tests), a temporary one."""
     context = spark.sparkContext
     return context.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) or _temporary(spark)
 
 
 def _temporary(spark: SparkSession) -> str:
+    if not spark.sparkContext._jsc.sc().isLocal():
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="textlake-"))
     return spark.sparkContext.getCheckpointDir()
 
 
+def fresh(taken: list[str], *names: str) -> list[str]:
+    """The names, each with as many underscores before it as it takes to differ from all taken ones."""
+    lower, out = {t.lower() for t in taken}, []
+    for name in names:
+        while name.lower() in lower:
+            name = "_" + name
+        out.append(name)
+    return out
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Cuts lineage by writing ``df`` to the shared folder."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_folder(df.sparkSession))
-    return df.checkpoint(eager=True)
+    """Cuts lineage by writing ``df`` to the shared folder; the shuffles that made it are
+    done with then, and their files go at once."""
+    spark = df.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        return df.select("*").checkpoint(eager=True)
+    finally:
+        spark.conf.set(CLEANUP, before)
 
 
 def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str], work: Callable[[pa.Table], Iterator[pa.RecordBatch]]) -> Iterator[pa.RecordBatch]:

@@ -8,9 +8,14 @@ windows of equal min-hashes are brought together; each is linked to that of the
 first document and to that of the document before its own, and likewise within those of the group
 that also share the least hash of so many words (``BESIDE``) to the left, or to the right, so a
 passage in m documents costs at most 10 m links and not their square, and a text that very many documents share
-doesn't hide what only some share beside it. Two documents are compared if the linked windows of
-``ENOUGH`` hash functions intersect in both in a passage of the least length. A comparison is exact: the
+doesn't hide what only some share beside it. Two documents are compared if linked windows of theirs, laid on each
+other at the least places, intersect in a passage of the least length, and these windows agree
+in a least hash beside, or there are two of them. A comparison is exact: the
 words of shared 5-word sequences form runs, which are reported where they are long and dense.
+
+A min-hash that many documents of one task share is a group of that task first; only the first
+documents of it, and of its parts, go on to the group of all tasks. A text goes by its id and
+a hash of it, so several texts of one id are told apart.
 """
 
 from __future__ import annotations
@@ -20,18 +25,23 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .cluster import checkpointed
-from .near_dup import sequence_keys
-from .textcore import buffers, mix, slices, words
+from .cluster import checkpointed, fresh
+from .textcore import SLICE, buffers, mix, slices, words
 
 #: Words of the shortest passage, of a token of a window and of a token of the comparison.
 LEAST, SHINGLE, EXACT = 50, 5, 5
-HASHES, ENOUGH = 4, 1
+HASHES = 4
 #: Tokens to each side of a window's least place whose least hashes part large groups.
 BESIDE = (16, 40)
+#: Bits of a side's hash; of a window's reach to either side, which need not be known beyond ``LEAST``.
+SIDE, REACH = 12, 7
+#: Windows that a task holds before it sends them, and of how many a group of its own is made.
+HELD, HOT = 400_000, 32
+#: Rows that are linked at a time; a larger group goes on from what its earlier rows leave behind.
+BLOCK = 200_000
 #: Words without a match that a run may hold at a stretch, and its least share of matched words.
 GAP, DENSE = 10, 0.8
 _U = np.uint64
@@ -101,84 +111,185 @@ def least_after(h: np.ndarray, last: np.ndarray, far: int) -> np.ndarray:
     return best
 
 
-def packed(a: np.ndarray, c: np.ndarray, b: np.ndarray, f: int) -> np.ndarray:
-    """A window in 64 bits: its least place, how far it reaches to either side (up to 131,071
-    words; a wider window counts as so wide) and its hash function."""
-    far = (1 << 17) - 1
-    place = np.minimum(c, (1 << 28) - 1).astype(np.uint64)
-    return (place << _U(36) | np.minimum(c - a, far).astype(np.uint64) << _U(19) | np.minimum(b - c, far).astype(np.uint64) << _U(2) | _U(f)).view(np.int64)
+def packed(left: np.ndarray, right: np.ndarray, sides: list[np.ndarray]) -> np.ndarray:
+    """How far windows reach from their least place and the hashes of what is beside it, in 64 bits."""
+    most = (1 << REACH) - 1
+    out = np.minimum(left, most).astype(np.uint64) << _U(REACH) | np.minimum(right, most).astype(np.uint64)
+    for side in sides:
+        out = out << _U(SIDE) | side >> _U(64 - SIDE)
+    return out.view(np.int64)
+
+
+def side_of(s: np.ndarray, i: int) -> np.ndarray:
+    return s >> (SIDE * i) & ((1 << SIDE) - 1)
+
 
+def reaches(s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    most = (1 << REACH) - 1
+    return s >> (SIDE * 2 * len(BESIDE) + REACH) & most, s >> (SIDE * 2 * len(BESIDE)) & most
 
-def unpacked(w: np.ndarray) -> tuple[np.ndarray, ...]:
-    """a, c, b and f."""
-    w = w.view(np.uint64)
-    c, far = (w >> _U(36)).astype(np.int64), _U((1 << 17) - 1)
-    return c - (w >> _U(19) & far).astype(np.int64), c, c + (w >> _U(2) & far).astype(np.int64), (w & _U(3)).astype(np.int64)
+
+def heads(group: np.ndarray, s: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """Of rows in an order, the places (in the order) of the first of each group and of each of
+    its parts of one side."""
+    group, s = group[order], s[order]
+    first = [np.unique(group, return_index=True)[1]]
+    for i in range(2 * len(BESIDE)):
+        first.append(np.unique(group << SIDE | side_of(s, i), return_index=True)[1])
+    return np.unique(np.concatenate(first))
+
+
+def parted(columns: list[np.ndarray], salt: int) -> list[np.ndarray]:
+    """Rows (v, id, t, s) in which a v that ``HOT`` rows share is replaced by one of their own;
+    the heads of such a group have a row with the v as it was besides."""
+    v, ids, t, s = columns
+    _, group, many = np.unique(v, return_inverse=True, return_counts=True)
+    hot = np.flatnonzero(many[group] >= HOT)
+    if len(hot) == 0:
+        return columns
+    order = np.lexsort((t[hot], ids[hot]))
+    top = hot[order[heads(group[hot], s[hot], order)]]
+    own = v.copy()
+    own[hot] = mix(v[hot].view(np.uint64) ^ mix(np.array([salt], np.uint64))).view(np.int64)
+    return [np.concatenate([own, v[top]]), *(np.concatenate([x, x[top]]) for x in (ids, t, s))]
 
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    from pyspark import TaskContext
+
+    context, sent = TaskContext.get(), 0
+    task = (context.partitionId() if context else 0) << 32
     least = LEAST - SHINGLE + 1
+    held: list[list[np.ndarray]] = []
+
+    def flushed() -> pa.RecordBatch:
+        rows = parted([np.concatenate(c) for c in zip(*held, strict=True)], task + sent)
+        held.clear()
+        return pa.record_batch([pa.array(c) for c in rows], ["v", "id", "t", "s"])
+
     for batch in batches:
-        data, offsets = buffers(batch.column(1))
+        data, offsets = buffers(batch.column(2))
+        every, texts = batch.column(0).to_numpy(), batch.column(1).to_numpy()
         for i, j in slices(offsets):
             _, _, value, bounds = words(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
             token, at = shingles(value, bounds, SHINGLE)
-            ids = batch.column(0).slice(i, j - i)
             sizes = np.diff(at)
             last, turned = np.repeat(at[1:] - 1, sizes), np.repeat(at[-1] - 1 - at[:-1], sizes)[::-1]
+            beside = [x for far in BESIDE for x in (least_after(token[::-1], turned, far)[::-1], least_after(token, last, far))]
             for f in range(HASHES):
                 h = mix(token + _U(0x632BE59BD9B4E019 * (f + 1) & 0xFFFFFFFFFFFFFFFF))
                 a, c, b = compact_windows(h, at, least)
-                doc = np.searchsorted(at, c, "right") - 1
-                base, key = at[doc], (h[c] & ~_U(3) | _U(f)).view(np.int64)
-                take = pa.array(doc)
-                sides = np.zeros(len(c), np.uint64)  # 16 bits of the least hash of either side and distance
-                for far in BESIDE:
-                    for least_beside in (least_after(h[::-1], turned, far)[::-1], least_after(h, last, far)):
-                        sides = sides << _U(16) | mix(least_beside[c]) >> _U(48)
-                yield pa.record_batch([pa.array(key), ids.take(take), pa.array(packed(a - base, c - base, b - base, f)), pa.array(sides.view(np.int64))], ["v", "id", "w", "sides"])
-
-
-def candidates(x: np.ndarray, y: np.ndarray) -> bool:
-    """Whether linked windows of enough hash functions intersect in a passage of both documents:
-    with ``y`` laid on ``x`` at the least places, a link is an interval."""
-    xa, xc, xb, f = unpacked(x)
-    ya, yc, yb, _ = unpacked(y)
-    shift = yc - xc
-    a, b = np.maximum(xa, ya - shift), np.minimum(xb, yb - shift)
-    least = LEAST - 2 * SHINGLE
-    for i in range(len(a)):
-        meet = (np.minimum(b, b[i]) - np.maximum(a, a[i]) >= least) & (np.abs(shift - shift[i]) <= GAP)
-        if len(np.unique(f[meet])) >= ENOUGH:
-            return True
-    return False
+                doc = i + np.searchsorted(at, c, "right") - 1
+                held.append([mix(h[c] + _U(f)).view(np.int64), every[doc], texts[doc], packed(c - a, b - c, [mix(x[c]) for x in beside])])
+            if sum(len(x[0]) for x in held) >= HELD:
+                yield flushed()
+                sent += 1
+    if held:
+        yield flushed()
+
+
+def links(v: np.ndarray, ids: np.ndarray, s: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of rows sorted by v and id: pairs of places (x, y) of which y is the first row, or the last
+    of a lesser id, of x's group or of a part of it with a side in common, and whose windows
+    intersect in a passage; and the places that later rows of the last group can be linked to."""
+    run = np.cumsum(np.append(True, v[1:] != v[:-1])) - 1 if len(v) else np.zeros(0, np.int64)
+    some = np.flatnonzero(np.bincount(run)[run] > 1) if len(v) else run
+    xs, ys, left = [], [], [np.zeros(0, np.int64)]
+    tail = len(v) and run[-1]
+    for i in range(-1, 2 * len(BESIDE)):
+        key = run[some] if i < 0 else run[some] << SIDE | side_of(s[some], i)
+        order = some if i < 0 else some[np.argsort(key, kind="stable")]
+        key = key if i < 0 else np.sort(key, kind="stable")
+        n = len(order)
+        place = np.arange(n)
+        new = np.append(True, key[1:] != key[:-1])[:n]
+        new_id = new | np.append(True, ids[order][1:] != ids[order][:-1])[:n]
+        start = np.maximum.accumulate(np.where(new, place, 0))
+        before = np.maximum.accumulate(np.where(new_id, place, 0)) - 1
+        ok = before >= start
+        for other in (start, before):
+            xs.append(order[ok])
+            ys.append(order[other[ok]])
+        end = np.append(new[1:], True)[:n]
+        keep = np.concatenate([place[new], place[end], before[end & ok]])
+        left.append(order[keep])
+    x, y = np.concatenate(xs), np.concatenate(ys)
+    (xl, xr), (yl, yr) = reaches(s[x]), reaches(s[y])
+    meet = np.minimum(xl, yl) + np.minimum(xr, yr) + 1 >= LEAST - 2 * SHINGLE
+    left = np.unique(np.concatenate(left))
+    left = left[run[left] == tail]
+    if len(left) == 0 and len(v):
+        left = np.flatnonzero(run == tail)
+    return x[meet], y[meet], left
+
+
+def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Linked documents and how much speaks for them (1 for a link, 2 for one that agrees in a
+    side), from rows sorted by v and id, in blocks; of a group that goes on in the next block
+    only the rows that can still be linked to are kept."""
+    old = [np.zeros(0, np.int64)] * 4
+    held: list[list[np.ndarray]] = []
+
+    def block() -> pa.RecordBatch:
+        nonlocal old
+        v, ids, t, s = (np.concatenate([o, *c]) for o, c in zip(old, zip(*held, strict=True), strict=True))
+        x, y, left = links(v, ids, s)
+        x, y = x[x >= len(old[0])], y[x >= len(old[0])]
+        pair = mix(mix(ids[x].view(np.uint64) + mix(t[x].view(np.uint64))) + mix(mix(ids[y].view(np.uint64)) + t[y].view(np.uint64)))
+        _, once = np.unique(mix(pair + mix(v[x].view(np.uint64))), return_index=True)
+        x, y, pair = x[once], y[once], pair[once]
+        beside = np.zeros(len(x), bool)
+        for i in range(2 * len(BESIDE)):
+            beside |= side_of(s[x], i) == side_of(s[y], i)
+        _, once, which = np.unique(pair, return_index=True, return_inverse=True)
+        votes = np.bincount(which, 1 + beside, len(once)).astype(np.int64)
+        x, y = x[once], y[once]
+        old = [c[left] for c in (v, ids, t, s)]
+        held.clear()
+        return pa.record_batch([pa.array(c) for c in (ids[x], t[x], ids[y], t[y], votes)], ["x", "xt", "y", "yt", "votes"])
+
+    for batch in batches:
+        held.append([batch.column(c).to_numpy() for c in range(4)])
+        if sum(len(c[0]) for c in held) >= BLOCK:
+            yield block()
+    if held:
+        yield block()
+
+
+def _cut(value: np.ndarray, bounds: np.ndarray) -> list[np.ndarray]:
+    return np.split(value, bounds[1:-1])
 
 
 def shared_runs(x: np.ndarray, y: np.ndarray) -> list[tuple[int, int, int, int]]:
     """Runs of words of ``x`` (first, after the last, matched words, first place in ``y``) of
     ``LEAST`` words at least that are made of word sequences that ``y`` has."""
-    if len(x) < LEAST or len(y) < LEAST:
-        return []
-    p, at = shingles(x, np.array([0, len(x)]), EXACT)
-    q, _ = shingles(y, np.array([0, len(y)]), EXACT)
+    (p, _), (q, _) = (shingles(z, np.array([0, len(z)]), EXACT) for z in (x, y))
     order = np.argsort(q, kind="stable")
-    q = q[order]
+    return _runs(p, q[order], order)
+
+
+def _runs(p: np.ndarray, q: np.ndarray, order: np.ndarray) -> list[tuple[int, int, int, int]]:
+    """The shared runs, from the sequences of one text and the sorted ones of another with their places."""
+    if len(p) + EXACT - 1 < LEAST or len(q) + EXACT - 1 < LEAST:
+        return []
     spot = np.minimum(np.searchsorted(q, p), len(q) - 1)
     hit = np.flatnonzero(q[spot] == p)
     if len(hit) == 0:
         return []
-    cover = np.zeros(len(x) + 1, np.int64)
-    np.add.at(cover, hit, 1)
-    np.add.at(cover, hit + EXACT, -1)
+    cover = np.zeros(len(p) + EXACT, np.int64)
+    cover[hit] += 1
+    cover[hit + EXACT] -= 1
     covered = np.cumsum(cover)[:-1] > 0
     place = np.flatnonzero(covered)
     cut = np.flatnonzero(np.diff(place) > GAP + 1)
     starts, ends = place[np.append(0, cut + 1)], place[np.append(cut, len(place) - 1)] + 1
-    total = np.concatenate([[0], np.cumsum(covered)])
+    long = np.flatnonzero(ends - starts >= LEAST)
     out = []
-    for s, e in zip(starts.tolist(), ends.tolist(), strict=True):
+    if len(long):
+        total = np.concatenate([[0], np.cumsum(covered)])
+    for s, e in zip(starts[long].tolist(), ends[long].tolist(), strict=True):
         matched = int(total[e] - total[s])
-        if e - s >= LEAST and matched >= DENSE * (e - s):
+        if matched >= DENSE * (e - s):
             at = hit[np.searchsorted(hit, s)]
             out.append((s, e, matched, int(order[spot[at]])))
     return out
@@ -190,62 +301,95 @@ def _characters(data: bytes, places: list[int]) -> list[int]:
     return before[places].tolist()
 
 
-SPANS = "doc_id bigint, begin_char int, end_char int, n_words int, matched_words int, source_doc_id bigint, source_begin_char int"
+SPANS = "doc_id bigint, t bigint, begin_char int, end_char int, n_words int, matched_words int, source_doc_id bigint, source_begin_char int"
 
 
-def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The pairs that are to be compared, before their texts are fetched."""
-    for batch in batches:
-        flat = batch.column("links")
-        keep = [candidates(rows.field("xw").to_numpy(), rows.field("yw").to_numpy()) for rows in (flat[r].values for r in range(batch.num_rows))]
-        yield batch.select(["x", "y"]).filter(pa.array(keep, pa.bool_()))
+class _Texts:
+    """The texts of some pairs, each taken apart once."""
+
+    def __init__(self, packed: list[bytes]) -> None:
+        self.raw = [zlib.decompress(x) for x in packed]
+        self.offsets = np.concatenate([[0], np.cumsum([len(x) for x in self.raw])])
+        data = np.frombuffer(b"".join(self.raw), np.uint8)
+        self.begin, self.end, value, self.bounds = words(data, self.offsets)
+        self.parts = _cut(*shingles(value, self.bounds, EXACT))
+        self.sorted: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+    def ordered(self, r: int) -> tuple[np.ndarray, np.ndarray]:
+        if r not in self.sorted:
+            order = np.argsort(self.parts[r], kind="stable")
+            self.sorted[r] = self.parts[r][order], order
+        return self.sorted[r]
+
+    def characters(self, r: int, first: list[int], last: list[int] = ()) -> tuple[list[int], list[int]]:
+        """The places of words' first characters, and after words' last ones, in a text."""
+        base, at = self.bounds[r], self.offsets[r]
+        found = _characters(self.raw[r], [int(self.begin[base + w] - at) for w in first] + [int(self.end[base + w] - at) for w in last])
+        return found[: len(first)], found[len(first) :]
 
 
 def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = [s.split()[0] for s in SPANS.split(", ")]
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int32()]
+    numbers: dict[tuple[int, int], int] = {}
+    packed: list[bytes] = []
+    pairs: list[tuple[int, int]] = []
+
+    def judged() -> pa.RecordBatch:
+        texts, keys, out = _Texts(packed), list(numbers), []
+        for x, y in pairs:
+            runs = _runs(texts.parts[x], *texts.ordered(y))
+            if runs:
+                begin, end = texts.characters(x, [s for s, *_ in runs], [e - 1 for _, e, *_ in runs])
+                source, _ = texts.characters(y, [p for *_, p in runs])
+                out += [(*keys[x], b, e, run[1] - run[0], run[2], keys[y][0], s) for run, b, e, s in zip(runs, begin, end, source, strict=True)]
+        for held in (numbers, packed, pairs):
+            held.clear()
+        return pa.record_batch([pa.array([o[i] for o in out], kind) for i, kind in enumerate(kinds)], names)
+
+    def number(key: tuple[int, int], text: pa.Scalar) -> int:
+        if key not in numbers:
+            numbers[key] = len(packed)
+            packed.append(text.as_buffer().to_pybytes())
+        return numbers[key]
+
+    size = 0
     for batch in batches:
-        out: list[tuple] = []
+        x, xt, y, yt = (batch.column(c).to_pylist() for c in ("x", "xt", "y", "yt"))
         xs, ys = batch.column("x_text"), batch.column("y_text")
         for r in range(batch.num_rows):
-            both = []
-            for text in (xs[r], ys[r]):
-                raw = zlib.decompress(text.as_buffer())
-                both.append((raw, *words(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))))
-            (xr, xb, xe, xv, _), (yr, yb, _, yv, _) = both
-            runs = shared_runs(xv, yv)
-            if runs:
-                begin = _characters(xr, [int(xb[s]) for s, *_ in runs])
-                end = _characters(xr, [int(xe[e - 1]) for _, e, *_ in runs])
-                source = _characters(yr, [int(yb[p]) for *_, p in runs])
-                x, y = batch.column("x")[r].as_py(), batch.column("y")[r].as_py()
-                out += [(x, b, e, run[1] - run[0], run[2], y, s) for run, b, e, s in zip(runs, begin, end, source, strict=True)]
-        kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int32()]
-        yield pa.record_batch([pa.array([o[i] for o in out], kind) for i, kind in enumerate(kinds)], names)
-
-
-def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each text's key, words and the characters before its first and through its last word."""
-    for batch in batches:
-        data, offsets = buffers(batch.column(1))
-        for i, j in slices(offsets):
-            part = data[offsets[i] : offsets[j]]
-            at = offsets[i : j + 1] - offsets[i]
-            begin, end, value, bounds = words(part, at)
-            counts = np.diff(bounds)
-            some = np.flatnonzero(counts >= LEAST)
-            before = np.concatenate([[0], np.cumsum((part & 0xC0) != 0x80)])
-            first, last = begin[bounds[some]], end[bounds[some + 1] - 1]
-            base = before[at[some]]
-            columns = [pa.array(sequence_keys(value, bounds)[some]), pa.array(counts[some].astype(np.int32)), pa.array((before[first] - base).astype(np.int32)), pa.array((before[last] - base).astype(np.int32))]
-            yield pa.record_batch([batch.column(0).slice(i, j - i).take(pa.array(some)), *columns], ["id", "k", "n", "b", "e"])
+            before = len(packed)
+            pairs.append((number((x[r], xt[r]), xs[r]), number((y[r], yt[r]), ys[r])))
+            size += sum(map(len, packed[before:]))
+            if size >= SLICE:
+                yield judged()
+                size = 0
+    if pairs:
+        yield judged()
 
 
 def _compressed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts as they are shuffled: once for all pairs of a document."""
     for batch in batches:
-        data, offsets = buffers(batch.column(1))
+        data, offsets = buffers(batch.column(2))
         raw = [zlib.compress(data[offsets[r] : offsets[r + 1]], 1) for r in range(batch.num_rows)]
-        yield pa.record_batch([batch.column(0), pa.array(raw, pa.binary())], ["id", "text"])
+        yield pa.record_batch([batch.column(0), batch.column(1), pa.array(raw, pa.binary())], ["id", "t", "text"])
+
+
+def _spans(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``SPANS`` of the texts of ``docs``."""
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    text = F.col(text_col).cast("string")
+    texts = docs.select(F.col(id_col).cast("bigint").alias("id"), F.xxhash64(text).alias("t"), text.alias("text")).where("id is not null and text is not null")
+    windows = texts.mapInArrow(_windows, "v bigint, id bigint, t bigint, s bigint").repartition(parts, "v").sortWithinPartitions("v", "id", "t")
+    pairs = windows.mapInArrow(_linked, "x bigint, xt bigint, y bigint, yt bigint, votes bigint")
+    pairs = checkpointed(pairs.groupBy("x", "xt", "y", "yt").agg(F.sum("votes").alias("votes")).where("votes > 1").drop("votes"))
+    asked = pairs.select(F.col("x").alias("id"), F.col("xt").alias("t")).union(pairs.select("y", "yt")).distinct()
+    small = texts.mapInArrow(_compressed, "id bigint, t bigint, text binary").join(asked, ["id", "t"], "left_semi").dropDuplicates(["id", "t"])
+    small = checkpointed(small)
+    met = pairs.join(small.select(F.col("id").alias("x"), F.col("t").alias("xt"), F.col("text").alias("x_text")), ["x", "xt"])
+    met = met.join(small.select(F.col("id").alias("y"), F.col("t").alias("yt"), F.col("text").alias("y_text")), ["y", "yt"])
+    return met.mapInArrow(_compared, SPANS)
 
 
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -254,44 +398,29 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     repeat a passage of an earlier one (of lesser id), where it begins at source_begin_char.
 
     A passage has ``LEAST`` words at least, of which ``DENSE`` are in shared 5-word sequences.
-    Documents of the same words as an earlier one are one passage as a whole (if they have so
-    many words) and are not searched further. Texts that are null, empty or short and rows
-    without an id have no passages; repeated rows of an id count once,
-    and several texts of one id are compared with others' under that id; repeats within a document are
-    not reported; other columns are not read. A passage may be reported with two sources.
+    A document of the same words as an earlier one is one passage (if it has so many words). Texts that are null, empty or short and rows
+    without an id have no passages; repeated rows of an id count once. Several texts of one id
+    are told apart: each is searched, none for what another one of its id has. Repeats within a document are
+    not reported; other columns are not read. A passage may be reported with several sources.
     """
-    texts = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null and text is not null")
-    members = texts.mapInArrow(_keyed, "id bigint, k bigint, n int, b int, e int")
-    first = members.withColumn("first", F.min("id").over(Window.partitionBy("k")))
-    copies = checkpointed(first.where("id > first"))
-    copied = copies.select(F.col("id").alias("doc_id"), F.col("b").alias("begin_char"), F.col("e").alias("end_char"), F.col("n").alias("n_words"), F.col("n").alias("matched_words"), F.col("first").alias("source_doc_id"), F.lit(None).cast("int").alias("source_begin_char"))
-    windows = texts.mapInArrow(_windows, "v bigint, id bigint, w bigint, sides bigint")
-    place = F.struct("id", "w")
-    # A group's first document is no copy: what it copied would come before it.
-    beside = [F.shiftright("sides", 16 * i).bitwiseAND(F.lit(0xFFFF)) for i in range(2 * len(BESIDE))]
-    lesser = [Window.partitionBy("v", *side).orderBy("id").rangeBetween(Window.unboundedPreceding, -1) for side in ([], *([x] for x in beside))]
-    linked = windows.withColumn("others", F.array(*(of(place).over(group) for group in lesser for of in (F.min, F.max))))
-    linked = linked.select("id", "w", F.explode(F.array_distinct("others")).alias("other")).where("other is not null")
-    pairs = linked.select(F.col("id").alias("x"), F.col("other.id").alias("y"), F.struct(F.col("w").alias("xw"), F.col("other.w").alias("yw")).alias("link"))
-    pairs = pairs.groupBy("x", "y").agg(F.collect_list("link").alias("links")).where(F.size(F.array_distinct(F.transform("links", lambda p: p["xw"].bitwiseAND(F.lit(3))))) >= ENOUGH)
-    pairs = pairs.join(copies.select(F.col("id").alias("x")).distinct(), "x", "left_anti").mapInArrow(_met, "x bigint, y bigint")
-    small = texts.mapInArrow(_compressed, "id bigint, text binary")
-    met = pairs.join(small.select(F.col("id").alias("x"), F.col("text").alias("x_text")), "x").join(small.select(F.col("id").alias("y"), F.col("text").alias("y_text")), "y")
-    return met.mapInArrow(_compared, SPANS).union(copied).distinct()
+    return _spans(docs, id_col, text_col).drop("t").distinct()
 
 
 def passages_removed(docs: DataFrame) -> DataFrame:
-    """``docs``, with their columns, without the repeated passages: the earliest document of a
-    passage keeps it. Rows of which nothing but blanks and signs is left go; other rows stay.
+    """``docs``, with their columns, whatever their names, without the repeated passages: the earliest document of a
+    passage keeps it. A text loses its own passages only, not those of another text of its id. Rows
+    of which nothing but blanks and signs is left go; other rows stay, repeated ones too.
     n_chars, if there is such a column, is brought up to date."""
-    spans = repeated_passages(docs).groupBy(F.col("doc_id").alias("__id")).agg(F.sort_array(F.collect_list(F.struct("begin_char", "end_char"))).alias("__spans"))
-    joined = docs.join(spans, docs["doc_id"] == spans["__id"], "left").drop("__id")
+    of, own, cuts = fresh(docs.columns, "of", "own", "cuts")
+    spans = _spans(docs, "doc_id", "text").groupBy(F.col("doc_id").alias(of), F.col("t").alias(own)).agg(F.sort_array(F.collect_set(F.struct("begin_char", "end_char"))).alias(cuts))
+    same = (docs["doc_id"].cast("bigint") == spans[of]) & (F.xxhash64(docs["text"].cast("string")) == spans[own])
+    joined = docs.join(spans, same, "left").drop(of, own)
     names = docs.columns
     at = names.index("text")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cut = np.flatnonzero(batch.column("__spans").is_valid().to_numpy(zero_copy_only=False))
+            cut = np.flatnonzero(batch.column(cuts).is_valid().to_numpy(zero_copy_only=False))
             columns = batch.columns[:-1]
             if len(cut) == 0:
                 yield pa.record_batch(columns, names)
@@ -302,7 +431,7 @@ def passages_removed(docs: DataFrame) -> DataFrame:
                 text, left, done = texts[r], [], 0
                 if text is None:
                     continue
-                for span in batch.column("__spans")[r].as_py():
+                for span in batch.column(cuts)[r].as_py():
                     left.append(text[done : max(done, span["begin_char"])])
                     done = max(done, span["end_char"])
                 texts[r] = "".join([*left, text[done:]]).strip()
@@ -314,4 +443,4 @@ def passages_removed(docs: DataFrame) -> DataFrame:
                 columns[names.index("n_chars")] = pa.array(sizes, columns[names.index("n_chars")].type)
             yield pa.record_batch(columns, names).filter(pa.array(keep))
 
-    return joined.select(*names, "__spans").mapInArrow(work, docs.schema)
+    return joined.select(*names, cuts).mapInArrow(work, docs.schema)
