@@ -19,11 +19,28 @@ def brute(docs, threshold):
     return {(a, b): len(x & y) / len(x | y) for (a, x), (b, y) in itertools.combinations(sorted(sets.items()), 2) if x and y and len(x & y) >= threshold * len(x | y)}
 
 
-def expanded(rows):
+def keyed(docs):
+    """The ids of each word sequence, by its words."""
     out = {}
-    for r in rows:
-        pairs = itertools.combinations(r.doc_ids_a, 2) if r.doc_ids_a == r.doc_ids_b else itertools.product(r.doc_ids_a, r.doc_ids_b)
-        out |= {(min(p), max(p)): r.jaccard for p in pairs}
+    for i, t in docs:
+        words = tuple(WORD.findall("".join(c.lower() if c.isascii() else c for c in t or "")))
+        if words and i is not None:
+            out.setdefault(words, set()).add(i)
+    return out
+
+
+def found_pairs(spark, docs):
+    """Pairs of ids: those between different word sequences, and those within one."""
+    frame = spark.createDataFrame(docs, "doc_id bigint, text string")
+    same = list(keyed(docs).values())
+    least = {}
+    for ids in same:
+        least.setdefault(min(ids), []).append(ids)
+    assert all(len(x) == 1 for x in least.values())
+    out = {tuple(sorted(p)): 1.0 for ids in same for p in itertools.combinations(ids, 2)}
+    for r in nd.jaccard_pairs(frame).collect():
+        for p in itertools.product(least[r.doc_id_a][0], least[r.doc_id_b][0]):
+            out[tuple(sorted(p))] = r.jaccard
     return out
 
 
@@ -44,30 +61,72 @@ def corpus():
 
 def test_recall_and_exactness(spark):
     docs = corpus()
-    found = expanded(nd.jaccard_join(spark.createDataFrame(docs, "doc_id bigint, text string")).collect())
+    found = found_pairs(spark, docs)
     true = brute(docs, nd.THRESHOLD)
     assert len(true) > 400
     assert set(found) <= set(true)
     assert all(abs(found[p] - true[p]) < 1e-9 for p in found)
-    assert len(found) >= 0.9 * len(true)
+    assert len(found) >= nd.RECALL * len(true)
     apart = {p for p, j in true.items() if j < 1}
-    assert len(apart & set(found)) >= 0.9 * len(apart)
+    assert len(apart & set(found)) >= nd.RECALL * len(apart)
+
+
+def classes_of(pairs, ids):
+    """The least id of each id's component, and its number of pairs."""
+    root = {i: i for i in ids}
+    count = dict.fromkeys(ids, 0)
+    for _ in ids:
+        for a, b in pairs:
+            root[a] = root[b] = min(root[a], root[b])
+    for a, b in pairs:
+        count[a] += 1
+        count[b] += 1
+    return {i: (root[i], count[i]) for i in ids}
+
+
+def test_classes_and_links_are_those_of_the_pairs(spark):
+    docs = corpus()
+    rows = nd.jaccard_classes(spark.createDataFrame(docs, "doc_id bigint, text string")).collect()
+    assert {r.doc_id: (r.class_id, r.n_links) for r in rows} == classes_of(set(found_pairs(spark, docs)), [i for i, _ in docs])
+    assert len(rows) == len(docs)
 
 
 def test_odd_rows(spark, odd_docs, no_docs):
-    rows = nd.jaccard_join(odd_docs)
-    assert rows.columns == ["doc_ids_a", "doc_ids_b", "jaccard"]
-    assert expanded(rows.collect()) == {(5, 6): 1.0}
-    assert nd.jaccard_join(no_docs).count() == 0
+    rows = nd.jaccard_classes(odd_docs)
+    assert rows.columns == ["doc_id", "class_id", "class_key", "n_links"]
+    got = sorted((r.doc_id, r.class_id, r.class_key is None, r.n_links) for r in rows.collect())
+    assert got == [(1, 1, True, 0), (2, 2, True, 0), (3, 3, False, 0), (3, 3, False, 0), (4, 4, False, 0), (5, 5, False, 1), (6, 5, False, 1), (7, 7, True, 0), (8, 8, False, 0)]
+    assert len({r.class_key for r in rows.where("class_key is not null").collect()}) == 5
+    assert nd.jaccard_classes(no_docs).count() == 0 and nd.jaccard_pairs(no_docs).count() == 0
     kept = nd.one_of_each(odd_docs)
     assert kept.columns == odd_docs.columns
-    assert sorted(r.doc_id for r in kept.collect() if r.doc_id) == [1, 2, 3, 3, 4, 4, 5, 7, 8]
+    assert sorted(r.doc_id for r in kept.collect() if r.doc_id) == [1, 2, 3, 3, 4, 5, 7, 8]
     assert nd.one_of_each(no_docs).count() == 0
 
 
+def test_texts_of_one_id_are_judged_apart(spark):
+    rng = random.Random(31)
+    a, b, c = (prose(rng, 60) for _ in range(3))
+    docs = spark.createDataFrame([(1, a), (2, a), (2, b), (3, c), (3, c), (3, c + "!"), (None, a)], "doc_id bigint, text string")
+    assert sorted((r.doc_id or 0, r.text.rstrip("!")) for r in nd.one_of_each(docs).collect()) == sorted([(1, a), (2, b), (3, c), (0, a)])
+    got = sorted((r.doc_id, r.class_id, r.n_links) for r in nd.jaccard_classes(docs).collect())
+    assert got == [(1, 1, 1), (2, 1, 1), (2, 2, 0), (3, 3, 0)]
+
+
+def test_clashing_columns(spark):
+    rng = random.Random(32)
+    a = prose(rng, 60)
+    names = ["id", "t", "k", "sign", "of", "at", "stay", "_of", "n", "class_id", "least", "root", "home"]
+    docs = spark.createDataFrame([(i, t, *range(len(names))) for i, t in ((1, a), (2, a), (3, "x"))], "doc_id bigint, text string, " + ", ".join(f"`{n}` int" for n in names))
+    kept = nd.one_of_each(docs)
+    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [1, 3]
+    assert nd.jaccard_classes(docs).count() == 3
+
+
 def test_short_texts_and_ties(spark):
-    docs = spark.createDataFrame([(1, "one"), (2, "ONE"), (3, "one two"), (4, "One, two!"), (5, "two one")], "doc_id bigint, text string")
-    assert expanded(nd.jaccard_join(docs).collect()) == {(1, 2): 1.0, (3, 4): 1.0}
+    docs = [(1, "one"), (2, "ONE"), (3, "one two"), (4, "One, two!"), (5, "two one")]
+    rows = nd.jaccard_classes(spark.createDataFrame(docs, "doc_id bigint, text string")).collect()
+    assert sorted((r.doc_id, r.class_id, r.n_links) for r in rows) == [(1, 1, 1), (2, 1, 1), (3, 3, 1), (4, 3, 1), (5, 5, 0)]
 
 
 def test_components(spark):
@@ -87,7 +146,7 @@ def test_hot_groups_leave_the_recall_of_weak_pairs(spark):
     docs = list(enumerate(docs))
     weak = {p for p, j in brute(docs, nd.THRESHOLD).items() if p[0] >= 90}
     assert len(weak) == 150
-    found = expanded(nd.jaccard_join(spark.createDataFrame(docs, "doc_id bigint, text string")).collect())
+    found = found_pairs(spark, docs)
     assert len(weak & set(found)) >= 0.95 * len(weak)
 
 
@@ -96,7 +155,7 @@ def test_lone_weak_pairs(spark):
     for _ in range(3):
         words = prose(rng, 90).split()
         docs = [(1, " ".join(words)), (2, " ".join("other" if i % 9 == 4 and i < 76 else w for i, w in enumerate(words)))]
-        assert set(expanded(nd.jaccard_join(spark.createDataFrame(docs, "doc_id bigint, text string")).collect())) == {(1, 2)}
+        assert set(found_pairs(spark, docs)) == {(1, 2)}
 
 
 def test_prefix_depth():

@@ -7,21 +7,22 @@ in some tree share a prefix. A pair of similarity s is found at depth d with pro
 itself, so what is found of a pair doesn't depend on the other pairs of a corpus. Candidates are
 verified exactly on their n-gram sets.
 
-Documents of equal word sequences are collapsed first, so groups of copies cost and yield one
-row. For verification, pairs meet at a run of a trie that holds both; a text is sent once to
+Documents of equal word sequences are collapsed first, so a group of copies costs as much as one
+text. For verification, pairs meet at a run of a trie that holds both; a text is sent once to
 each such run, not once to each of its pairs.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .cluster import checkpointed, whole_groups
+from .cluster import checkpointed, fresh, whole_groups
 from .textcore import buffers, mix, ngrams, slices, words
 
 GRAM, THRESHOLD, RECALL = 3, 0.5, 0.95
@@ -30,8 +31,7 @@ _U = np.uint64
 _random = np.random.default_rng(20240229)
 _A = (_random.integers(0, 1 << 32, TREES * DEPTH, np.uint64) | _U(1)).astype(np.uint32)
 _B = _random.integers(0, 1 << 32, TREES * DEPTH, np.uint64).astype(np.uint32)
-KEYS = ["id", "k"]
-PAIR = ["a_id", "a_k", "b_id", "b_k"]
+PAIR = ["a", "b"]
 
 
 def prefix_depth(threshold: float, recall: float) -> int:
@@ -60,71 +60,69 @@ def signatures(grams: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each text; one without words has neither key nor signature."""
     for batch in batches:
-        data, offsets = buffers(batch.column(1))
+        data, offsets = buffers(batch.column(2))
         for i, j in slices(offsets):
             _, _, value, bounds = words(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-            some = np.flatnonzero(np.diff(bounds) > 0)
-            if len(some) == 0:
-                continue
-            sign = signatures(*ngrams(value, bounds, GRAM))
-            ids = batch.column(0).slice(i, j - i).take(pa.array(some))
-            rows = pa.FixedSizeBinaryArray.from_buffers(pa.binary(2 * TREES * DEPTH), len(some), [None, pa.py_buffer(sign.tobytes())]).cast(pa.binary())
-            yield pa.record_batch([ids, pa.array(sequence_keys(value, bounds)[some]), rows], ["id", "k", "sign"])
+            none = np.diff(bounds) == 0
+            sign = np.zeros((j - i, TREES * DEPTH), np.uint16)
+            if not none.all():
+                sign[~none] = signatures(*ngrams(value, bounds, GRAM))
+            rows = pa.FixedSizeBinaryArray.from_buffers(pa.binary(2 * TREES * DEPTH), j - i, [None, pa.py_buffer(sign.tobytes())]).cast(pa.binary())
+            given = [pa.nulls(j - i, pa.binary()) if none.all() else rows.filter(pa.array(~none)).take(pa.array(np.cumsum(~none) - 1, mask=none))]
+            yield pa.record_batch([*(batch.column(c).slice(i, j - i) for c in (0, 1)), pa.array(sequence_keys(value, bounds), mask=none), *given], ["id", "t", "k", "sign"])
 
 
 def _labels(depth: int):
-    """Rows of the tries; those of a root may share a prefix of a depth."""
+    """Rows of the tries: the tree with the first three places of a label, the others up to a
+    depth, and the key of the text."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n = batch.num_rows
             if n == 0:
                 continue
-            data, _ = buffers(batch.column(2))
-            sign = data.view(np.uint16).reshape(n, TREES, 2, 4).astype(np.uint64)
-            packed = (sign[..., 0] << _U(48) | sign[..., 1] << _U(32) | sign[..., 2] << _U(16) | sign[..., 3]).view(np.int64)
-            tree = np.tile(np.arange(TREES, dtype=np.int32), n)
-            ids, k = np.repeat(batch.column(0).to_numpy(), TREES), np.repeat(batch.column(1).to_numpy(), TREES)
-            hi, lo = packed[:, :, 0].ravel(), packed[:, :, 1].ravel()
-            yield pa.record_batch([pa.array(tree), pa.array(hi >> 16 * (4 - min(depth, 3))), pa.array(hi), pa.array(lo), pa.array(ids), pa.array(k)], ["tree", "root", "hi", "lo", "id", "k"])
+            data, _ = buffers(batch.column(1))
+            sign = data.view(np.uint16).reshape(n, TREES, DEPTH).astype(np.uint64)
+            root = np.tile(np.arange(TREES, dtype=np.uint64), (n, 1))
+            for j in range(min(depth, 3)):
+                root = root << _U(16) | sign[..., j]
+            rest = np.zeros((n, TREES), np.uint64)
+            for j in range(3, depth):
+                rest = mix(rest + sign[..., j] + _U(1))
+            columns = [root, rest][: 1 + (depth > 3)]
+            yield pa.record_batch([*(pa.array(c.ravel().view(np.int64)) for c in columns), pa.array(np.repeat(batch.column(0).to_numpy(), TREES))], ["root", "rest", "k"] if depth > 3 else ["root", "k"])
 
     return work
 
 
-def _runs(tree: np.ndarray, hi: np.ndarray, lo: np.ndarray, depth: int) -> np.ndarray:
-    """The number of each row's run of equal prefixes of a depth."""
-    a, b = (hi >> (16 * (4 - depth)), np.zeros_like(lo)) if depth <= 4 else (hi, lo >> (16 * (8 - depth)))
-    new = np.append(True, (tree[1:] != tree[:-1]) | (a[1:] != a[:-1]) | (b[1:] != b[:-1]))
-    return np.cumsum(new) - 1
-
-
-def _matches(depth: int):
-    """Pairs whose labels share ``depth`` places, from sorted tries."""
+def _matches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs whose labels are equal as far as they are given, from sorted tries."""
 
     def of(table: pa.Table) -> Iterator[pa.RecordBatch]:
-        tree, hi, lo, ids, k = (table[c].to_numpy() for c in ("tree", "hi", "lo", "id", "k"))
-        run = _runs(tree, hi, lo, depth)
-        many = np.bincount(run)
-        keep = np.flatnonzero(many[run] > 1)
+        label = [table[c].to_numpy() for c in table.column_names[:-1]]
+        k = table["k"].to_numpy()
+        new = np.append(True, np.logical_or.reduce([c[1:] != c[:-1] for c in label]))
+        run = np.cumsum(new) - 1
+        keep = np.flatnonzero(np.bincount(run)[run] > 1)
         if len(keep) == 0:
             return
-        tree, hi, lo, ids, k, run = (x[keep] for x in (tree, hi, lo, ids, k, run))
-        part = lo >> (16 * (8 - depth)) if depth > 4 else np.full(len(lo), depth)
-        home = mix(mix((hi >> (16 * max(0, 4 - depth))).view(np.uint64) + _U(7) * tree.astype(np.uint64)) + part.view(np.uint64)).view(np.int64)
+        k, run = k[keep], run[keep]
+        home = np.zeros(len(keep), np.uint64)
+        for c in label:
+            home = mix(home + c[keep].view(np.uint64) + _U(7))
+        home = home.view(np.int64)
         i, step = np.arange(len(run)), 1
         while len(i):
             i = i[i + step < len(run)]
             i = i[run[i] == run[i + step]]
-            x, y = i, i + step
-            swap = (ids[x] > ids[y]) | ((ids[x] == ids[y]) & (k[x] > k[y]))
-            x, y = np.where(swap, y, x), np.where(swap, x, y)
+            x, y = np.minimum(k[i], k[i + step]), np.maximum(k[i], k[i + step])
             for s in range(0, len(x), 100_000):
-                p, q = x[s : s + 100_000], y[s : s + 100_000]
-                yield pa.record_batch([pa.array(ids[p]), pa.array(k[p]), pa.array(ids[q]), pa.array(k[q]), pa.array(home[p])], [*PAIR, "home"])
+                yield pa.record_batch([pa.array(x[s : s + 100_000]), pa.array(y[s : s + 100_000]), pa.array(home[i[s : s + 100_000]])], [*PAIR, "home"])
             step += 1
 
-    return lambda batches: whole_groups(batches, ["tree", "root"], of)
+    return whole_groups(batches, ["root"], of)
 
 
 def _verified(threshold: float):
@@ -133,22 +131,21 @@ def _verified(threshold: float):
     def of(table: pa.Table) -> Iterator[pa.RecordBatch]:
         kind = table["kind"].to_numpy()
         home = table["home"].to_numpy()
-        sets: dict[tuple[int, int, int], np.ndarray] = {}
+        sets: dict[tuple[int, int], np.ndarray] = {}
         texts = table.filter(pa.array(kind == 0))
-        data, offsets = buffers(texts["text"])
-        at_home, ids, ks = texts["home"].to_numpy(), texts["a_id"].to_numpy(), texts["a_k"].to_numpy()
+        at_home, ks = texts["home"].to_pylist(), texts["a"].to_pylist()
+        raw = [zlib.decompress(x.as_buffer()) for x in texts["text"]]
+        offsets = np.concatenate([[0], np.cumsum([len(x) for x in raw])]).astype(np.int64)
         for i, j in slices(offsets):
-            _, _, value, bounds = words(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-            own = sequence_keys(value, bounds)
+            _, _, value, bounds = words(np.frombuffer(b"".join(raw[i:j]), np.uint8), offsets[i : j + 1] - offsets[i])
             grams, at = ngrams(value, bounds, GRAM)
             for r in range(i, j):
-                if own[r - i] == ks[r]:  # ids may be those of several texts
-                    sets[at_home[r], ids[r], ks[r]] = np.unique(grams[at[r - i] : at[r - i + 1]])
+                sets[at_home[r], ks[r]] = np.unique(grams[at[r - i] : at[r - i + 1]])
         rest = np.flatnonzero(kind == 1)
         pairs = [table[c].to_numpy()[rest] for c in PAIR]
         share = np.zeros(len(rest))
-        for n, (h, a, ak, b, bk) in enumerate(zip(home[rest].tolist(), *(x.tolist() for x in pairs), strict=True)):
-            x, y = sets[h, a, ak], sets[h, b, bk]
+        for n, (h, a, b) in enumerate(zip(home[rest].tolist(), *(x.tolist() for x in pairs), strict=True)):
+            x, y = sets[h, a], sets[h, b]
             if len(x) > len(y):
                 x, y = y, x
             if len(x) < threshold * len(y):
@@ -163,42 +160,82 @@ def _verified(threshold: float):
     return lambda batches: whole_groups(batches, ["home"], of)
 
 
+def _sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts as they are shuffled."""
+    for batch in batches:
+        data, offsets = buffers(batch.column(2))
+        raw = [zlib.compress(data[offsets[r] : offsets[r + 1]], 1) for r in range(batch.num_rows)]
+        yield pa.record_batch([batch.column(0), batch.column(1), pa.array(raw, pa.binary())], ["id", "t", "text"])
+
+
 def similar(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(members, pairs): the distinct word sequences (id, k, doc_ids) and the pairs of them
-    (``PAIR``, jaccard) that reach the threshold."""
-    texts = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null and text is not null")
-    signed = texts.mapInArrow(_signed, "id bigint, k bigint, sign binary")
-    members = checkpointed(signed.groupBy("k").agg(F.min(F.struct("id", "sign")).alias("least"), F.sort_array(F.collect_set("id")).alias("doc_ids")).select(F.col("least.id").alias("id"), "k", F.col("least.sign").alias("sign"), "doc_ids"))
+    """(rows, pairs): id, k (hash of the word sequence, null without words) and t (hash of the
+    text) of each row that has an id, and the pairs (a < b, jaccard) of the k of distinct word
+    sequences that reach the threshold."""
+    texts = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null").select("id", F.xxhash64("text").alias("t"), "text")
+    signed = checkpointed(texts.mapInArrow(_signed, "id bigint, t bigint, k bigint, sign binary"))
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     depth = prefix_depth(threshold, recall)
-    labels = members.select("id", "k", "sign").mapInArrow(_labels(depth), "tree int, root bigint, hi bigint, lo bigint, id bigint, k bigint")
-    tries = labels.repartition(parts, "tree", "root").sortWithinPartitions("tree", "root", "hi", "lo")
-    pairs = tries.mapInArrow(_matches(depth), "a_id bigint, a_k bigint, b_id bigint, b_k bigint, home bigint")
+    label = ["root", "rest"] if depth > 3 else ["root"]
+    # Equal word sequences have equal signatures: any one of them will do.
+    labels = signed.where("k is not null").groupBy("k").agg(F.min("sign").alias("sign")).mapInArrow(_labels(depth), ", ".join(f"{c} bigint" for c in [*label, "k"]))
+    tries = labels.repartition(parts, "root").sortWithinPartitions(*label)
+    pairs = tries.mapInArrow(_matches, "a bigint, b bigint, home bigint")
     pairs = checkpointed(pairs.groupBy(*PAIR).agg(F.min("home").alias("home")))
-    needed = pairs.select("home", F.col("a_id").alias("id"), F.col("a_k").alias("k")).union(pairs.select("home", "b_id", "b_k")).distinct()
-    sent = needed.join(texts, "id").select("home", F.lit(0).alias("kind"), F.col("id").alias("a_id"), F.col("k").alias("a_k"), F.lit(0).cast("bigint").alias("b_id"), F.lit(0).cast("bigint").alias("b_k"), "text")
-    asked = pairs.select("home", F.lit(1).alias("kind"), *PAIR, F.lit(None).cast("string").alias("text"))
+    needed = pairs.select("home", F.col("a").alias("k")).union(pairs.select("home", "b")).distinct()
+    one = signed.where("k is not null").groupBy("k").agg(F.min(F.struct("id", "t")).alias("one")).select("k", "one.id", "one.t")
+    needed = needed.join(one, "k")
+    small = texts.where("text is not null").mapInArrow(_sent, "id bigint, t bigint, text binary").dropDuplicates(["id", "t"])
+    sent = needed.join(small, ["id", "t"]).select("home", F.lit(0).alias("kind"), F.col("k").alias("a"), F.lit(0).cast("bigint").alias("b"), "text")
+    asked = pairs.select("home", F.lit(1).alias("kind"), *PAIR, F.lit(None).cast("binary").alias("text"))
     meet = sent.union(asked).repartition(parts, "home").sortWithinPartitions("home", "kind")
-    found = checkpointed(meet.mapInArrow(_verified(threshold), "a_id bigint, a_k bigint, b_id bigint, b_k bigint, jaccard double"))
-    return members.drop("sign"), found
-
+    found = checkpointed(meet.mapInArrow(_verified(threshold), "a bigint, b bigint, jaccard double"))
+    return signed.drop("sign"), found
+
+
+def roots_of(rows: DataFrame, pairs: DataFrame) -> DataFrame:
+    """k of each word sequence, the number of its documents, and the least id of its component
+    with the k of that: class_id and class_key."""
+    sizes = checkpointed(rows.where("k is not null").select("id", "k").distinct().groupBy("k").agg(F.count("*").alias("n"), F.min("id").alias("least")))
+    ends = pairs.join(sizes.select(F.col("k").alias("a"), F.struct(F.col("least").alias("id"), F.col("k")).alias("x")), "a").join(sizes.select(F.col("k").alias("b"), F.struct(F.col("least").alias("id"), F.col("k")).alias("y")), "b")
+    roots = components(ends.select(F.col("x").alias("a"), F.col("y").alias("b"))).select(F.col("id.k").alias("k"), "root")
+    return sizes.join(roots, "k", "left").select("k", "n", F.coalesce("root.id", "least").alias("class_id"), F.coalesce("root.k", "k").alias("class_key"))
+
+
+def classes(rows: DataFrame, pairs: DataFrame) -> DataFrame:
+    """id, class_id, class_key and n_links of rows (id, k) under pairs (a < b) of k; see
+    ``jaccard_classes``."""
+    documents, sizes = rows.select("id", "k").distinct(), checkpointed(roots_of(rows, pairs))
+    both = pairs.select(F.col("a").alias("of"), F.col("b").alias("k")).union(pairs.select("b", "a"))
+    links = both.join(sizes.select("k", "n"), "k").groupBy(F.col("of").alias("k")).agg(F.sum("n").alias("links"))
+    every = sizes.join(links, "k", "left").select("k", "class_id", "class_key", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
+    return documents.join(every, "k", "left").select("id", F.coalesce("class_id", "id").alias("class_id"), "class_key", F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"))
+
+
+def jaccard_classes(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, class_id, class_key and n_links, one row for each document: an id with one of
+    its word sequences.
+
+    n_links counts the other documents whose sets of word 3-grams are similar to the document's
+    (``threshold`` at least), copies among them. Documents that are linked, over any number of
+    links, are a class; class_id is the least doc_id of it and class_key the hash of that
+    document's words, which tells classes apart where an id has several texts. A document without
+    links is a class of its own. Texts of one or two words have one n-gram of all their words.
+    Texts without words (null and empty ones too) have no links and no class_key; rows without
+    an id are left out; repeated rows count once. Other columns are not read; no table is too
+    small. Pairs are verified but not put out, so the rows grow as the documents do.
+    """
+    return classes(*similar(docs, threshold, recall, id_col, text_col)).withColumnRenamed("id", "doc_id")
 
-def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_ids_a, doc_ids_b and jaccard: every document of the first list and every one of the
-    second have that similarity of their sets of word 3-grams, ``threshold`` at least.
 
-    The documents of a list have the same words in the same order; a row with two equal
-    lists is such a group of two documents at least, all of whose pairs have 1. Texts of one
-    or two words have one n-gram of all their words. Texts without words (null and empty ones
-    too) and rows without an id are in no pair; repeated rows of an id count once. The first
-    list has the lesser first id. Other columns are not read; no table is too small.
-    """
-    members, pairs = similar(docs, threshold, recall, id_col, text_col)
-    a = members.select(F.col("id").alias("a_id"), F.col("k").alias("a_k"), F.col("doc_ids").alias("doc_ids_a"))
-    b = members.select(F.col("id").alias("b_id"), F.col("k").alias("b_k"), F.col("doc_ids").alias("doc_ids_b"))
-    joined = pairs.join(a, ["a_id", "a_k"]).join(b, ["b_id", "b_k"]).select("doc_ids_a", "doc_ids_b", "jaccard")
-    same = members.where("size(doc_ids) > 1").select(F.col("doc_ids").alias("doc_ids_a"), F.col("doc_ids").alias("doc_ids_b"), F.lit(1.0).alias("jaccard"))
-    return joined.union(same)
+def jaccard_pairs(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id_a, key_a, doc_id_b, key_b and jaccard: the pairs behind ``jaccard_classes``, between
+    distinct word sequences, each by its least doc_id and its hash. Rows and columns are
+    read as there; as many rows as there are pairs of different similar texts."""
+    rows, pairs = similar(docs, threshold, recall, id_col, text_col)
+    least = rows.where("k is not null").groupBy("k").agg(F.min("id").alias("id"))
+    a, b = (least.select(F.col("k").alias(x), F.col("id").alias(f"doc_id_{x}")) for x in PAIR)
+    return pairs.join(a, "a").join(b, "b").select("doc_id_a", F.col("a").alias("key_a"), "doc_id_b", F.col("b").alias("key_b"), "jaccard")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -222,11 +259,17 @@ def components(edges: DataFrame) -> DataFrame:
 
 def one_of_each(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
     """The rows of ``docs``, one of each group of near duplicates (a component of similar
-    documents): that of the least doc_id. Of repeated rows of an id within a group one stays.
-    Rows in no pair stay, as do those without an id."""
-    members, pairs = similar(docs, threshold, recall)
-    roots = components(pairs.select(F.struct(F.col("a_id").alias("id"), F.col("a_k").alias("k")).alias("a"), F.struct(F.col("b_id").alias("id"), F.col("b_k").alias("k")).alias("b")))
-    group = members.join(roots.select(F.col("id.id").alias("id"), F.col("id.k").alias("k"), F.col("root.id").alias("root")), KEYS, "left")
-    keep = group.select(F.explode("doc_ids").alias("doc_id"), F.coalesce("root", "id").alias("root"))
-    drop = keep.groupBy("doc_id").agg(F.min("root").alias("root")).where("root < doc_id").select("doc_id")
-    return docs.join(drop, "doc_id", "left_anti")
+    documents): that of the least doc_id. An id's texts are judged apart: only what is similar
+    to a kept text goes. Of repeated rows, and of texts of an id with the same words, one stays (any
+    one, where they differ in other columns). Rows without words or without an id stay. Other
+    columns are carried, whatever their names."""
+    rows, pairs = similar(docs, threshold, recall)
+    texts = rows.where("k is not null").groupBy("k", "id", "t").agg(F.count("*").alias("n"))
+    first = texts.groupBy("k", "id").agg(F.min("t").alias("first"))
+    judged = texts.join(first, ["k", "id"]).join(roots_of(rows, pairs).drop("n"), "k")
+    stays = (F.col("id") == F.col("class_id")) & (F.col("k") == F.col("class_key")) & (F.col("t") == F.col("first"))
+    of, at, stay = fresh(docs.columns, "of", "at", "stay")
+    marks = checkpointed(judged.select(F.col("id").alias(of), F.col("t").alias(at), stays.alias(stay), "n").where(~F.col(stay) | (F.col("n") > 1)).drop("n"))
+    same = (docs["doc_id"].cast("bigint") == marks[of]) & (F.xxhash64(docs["text"].cast("string")) == marks[at])
+    again = docs.join(marks.where(stay), same, "left_semi").dropDuplicates(["doc_id", "text"])
+    return docs.join(marks, same, "left_anti").union(again)

@@ -19,9 +19,9 @@ def op1_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .near_dup import jaccard_join
+    from .near_dup import jaccard_classes
 
-    return jaccard_join(_table(spark, sf_dir, "documents"))
+    return jaccard_classes(_table(spark, sf_dir, "documents"))
 
 
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
