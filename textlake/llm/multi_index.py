@@ -5,8 +5,9 @@ vectors; a pair of codewords is a cell of the product grid. Every vector is kept
 and asks the cells nearest to it, in the order of a multi-sequence traversal (by the sum of
 both halves' distances). A pair can be found from either of its vectors, so the pairs found
 from one side, from the other and from both give a capture-recapture estimate of all pairs;
-the number of visited cells doubles until the estimated recall reaches the target. Cosines
-are verified exactly.
+the number of visited cells doubles until the estimated recall reaches the target, and each
+round visits only cells that the rounds before didn't. Cosines are verified exactly. Equal
+vectors are collapsed first; a cell of many vectors is parted, and its questions go to each part.
 """
 
 from __future__ import annotations
@@ -18,12 +19,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .cluster import checkpointed, whole_groups
+from .cluster import checkpointed
+from .near_dup import classes
 
 THRESHOLD, RECALL = 0.9, 0.95
 #: Vectors to a cell on average, rounds of k-means, cells visited at first.
 OCCUPANCY, ROUNDS, VISITS = 8, 6, 8
 BLOCK = 2048
+#: Vectors of a part of a cell.
+PART = 4096
 
 
 def _matrix(column: pa.Array, d: int) -> np.ndarray:
@@ -35,13 +39,21 @@ def _distances(x: np.ndarray, codes: np.ndarray) -> np.ndarray:
     return (codes * codes).sum(1) - 2 * x @ codes.T
 
 
+def _nearest(x: np.ndarray, deep: int) -> np.ndarray:
+    """The places of the ``deep`` least values of each row, in their order."""
+    if 4 * deep >= x.shape[1]:
+        return np.argsort(x, 1, kind="stable")[:, :deep]
+    some = np.sort(np.argpartition(x, deep - 1, 1)[:, :deep], 1)
+    return np.take_along_axis(some, np.argsort(np.take_along_axis(x, some, 1), 1, kind="stable"), 1)
+
+
 def nearest_cells(one: np.ndarray, two: np.ndarray, visits: int) -> np.ndarray:
     """The ``visits`` cells of least summed distance for each row, as i * codewords + j. The
     cell of ranks (i, j) has (i + 1)(j + 1) - 1 cells before it, so the traversal can't come
     to others than those of (i + 1)(j + 1) <= visits."""
     k = one.shape[1]
     deep = min(visits, k)
-    order1, order2 = np.argsort(one, 1, kind="stable")[:, :deep], np.argsort(two, 1, kind="stable")[:, :deep]
+    order1, order2 = _nearest(one, deep), _nearest(two, deep)
     i, j = (z.ravel() for z in np.meshgrid(np.arange(deep), np.arange(deep), indexing="ij"))
     front = (i + 1) * (j + 1) <= visits
     i, j = i[front], j[front]
@@ -51,27 +63,25 @@ def nearest_cells(one: np.ndarray, two: np.ndarray, visits: int) -> np.ndarray:
 
 
 def _normalised(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """id and unit vector (bytes of float32); only vectors of the usual size, without gaps, not zero."""
+    """id, k (a hash of the vector as it is) and unit vector (bytes of float32); only vectors without gaps, not zero."""
     whole = vectors.select(F.col(id_col).cast("bigint").alias("id"), F.col(vector_col).cast("array<float>").alias("v")).where("id is not null and size(v) > 1 and not exists(v, x -> x is null or isnan(x) or abs(x) = float('inf'))")
-    usual = whole.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), F.desc("d")).first()
-    d = usual["d"] if usual else 2
-    whole = whole.where(F.size("v") == d).distinct()
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = batch.column(1).flatten().to_numpy().reshape(-1, d).astype(np.float64)
-            size = np.sqrt((x * x).sum(1))
-            some = size > 0
-            unit = (x[some] / size[some, None]).astype(np.float32)
-            yield pa.record_batch([batch.column(0).filter(pa.array(some)), pa.array([r.tobytes() for r in unit], pa.binary())], ["id", "v"])
+            flat, at = batch.column(2).flatten().to_numpy().astype(np.float64), np.concatenate([[0], np.cumsum(batch.column(2).value_lengths().to_numpy())])
+            size = np.sqrt(np.add.reduceat(flat * flat, at[:-1])) if batch.num_rows else np.zeros(0)
+            unit = (flat / np.repeat(np.where(size > 0, size, 1), np.diff(at))).astype(np.float32).tobytes()
+            some = pa.array(size > 0)
+            v = pa.array([unit[4 * a : 4 * b] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)], pa.binary())
+            yield pa.record_batch([batch.column(0), batch.column(1), v], ["id", "k", "v"]).filter(some)
 
-    return whole.mapInArrow(work, "id bigint, v binary")
+    return whole.select("id", F.xxhash64("v").alias("k"), "v").mapInArrow(work, "id bigint, k bigint, v binary")
 
 
 def codebooks(units: DataFrame, d: int, k: int) -> list[np.ndarray]:
     """k codewords for each half, by k-means over all vectors from those of least id hashes."""
     spark = units.sparkSession
-    start = np.stack([np.frombuffer(bytes(r["v"]), np.float32) for r in units.orderBy(F.xxhash64("id"), "id", "v").limit(k).collect()]).astype(np.float64)
+    start = np.stack([np.frombuffer(bytes(r["v"]), np.float32) for r in units.orderBy(F.xxhash64("k"), "k").limit(k).collect()]).astype(np.float64)
     cut = d // 2
     books = [start[:, :cut], start[:, cut:]]
     for _ in range(ROUNDS):
@@ -106,34 +116,38 @@ def codebooks(units: DataFrame, d: int, k: int) -> list[np.ndarray]:
     return books
 
 
-def _asked(threshold: float, d: int):
-    def of(table: pa.Table) -> Iterator[pa.RecordBatch]:
-        query = table["query"].to_numpy()
-        if not (query == 1).any() or not (query == 0).any():
-            return
-        cell, ids = table["cell"].to_numpy(), table["id"].to_numpy()
-        x = np.stack([np.frombuffer(v.as_buffer(), np.float32) for v in table["v"]])
-        edges = np.flatnonzero(np.append(True, cell[1:] != cell[:-1])).tolist() + [len(cell)]
-        for s, e in zip(edges[:-1], edges[1:], strict=True):
-            own = s + np.flatnonzero(query[s:e] == 0)
-            asks = s + np.flatnonzero(query[s:e] == 1)
-            if len(own) == 0:
+def _asked(threshold: float):
+    """Pairs of questions and vectors of a part of a cell; its vectors come before its questions."""
+    names = ["a", "b", "cosine", "side"]
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, own, mine = None, np.zeros(0, np.int64), None
+        for batch in batches:
+            if batch.num_rows == 0:
                 continue
-            mine = x[own]
-            for b in range(0, len(asks), BLOCK):
-                part = asks[b : b + BLOCK]
-                for c in range(0, len(own), BLOCK):
-                    p, q = np.nonzero(x[part] @ mine[c : c + BLOCK].T >= threshold - 1e-4)
-                    p, q = part[p], own[c + q]
-                    p, q = p[ids[p] != ids[q]], q[ids[p] != ids[q]]
+            cell, part, query, k = (batch.column(c).to_numpy() for c in ("cell", "part", "query", "k"))
+            x = _matrix(batch.column("v"), 0)
+            edges = np.flatnonzero(np.append(True, (cell[1:] != cell[:-1]) | (part[1:] != part[:-1]))).tolist() + [batch.num_rows]
+            for s, e in zip(edges[:-1], edges[1:], strict=True):
+                here = s + int(np.searchsorted(query[s:e], 1))
+                if at == (cell[s], part[s]):
+                    own, mine = np.concatenate([own, k[s:here]]), np.concatenate([mine, x[s:here]])
+                else:
+                    at, own, mine = (cell[s], part[s]), k[s:here], x[s:here]
+                if here == e or len(own) == 0:
+                    continue
+                for b in range(here, e, BLOCK):
+                    asks = np.arange(b, min(b + BLOCK, e))
+                    p, q = np.nonzero(x[asks] @ mine.T >= threshold - 1e-4)
+                    p = asks[p]
+                    p, q = p[k[p] != own[q]], q[k[p] != own[q]]
+                    exact = np.einsum("ij,ij->i", x[p].astype(np.float64), mine[q].astype(np.float64))
+                    good = exact >= threshold
+                    p, q, exact = k[p[good]], own[q[good]], exact[good]
                     if len(p):
-                        exact = np.einsum("ij,ij->i", x[p].astype(np.float64), x[q].astype(np.float64))
-                        good = exact >= threshold
-                        p, q, exact = p[good], q[good], exact[good]
-                        less = ids[p] < ids[q]
-                        yield pa.record_batch([pa.array(np.where(less, ids[p], ids[q])), pa.array(np.where(less, ids[q], ids[p])), pa.array(exact), pa.array(np.where(less, 1, 2).astype(np.int32))], ["vec_id_a", "vec_id_b", "cosine", "side"])
+                        yield pa.record_batch([pa.array(np.minimum(p, q)), pa.array(np.maximum(p, q)), pa.array(exact), pa.array(np.where(p < q, 1, 2).astype(np.int32))], names)
 
-    return lambda batches: whole_groups(batches, ["cell"], of)
+    return work
 
 
 def complete(n: int, every: float, recall: float) -> bool:
@@ -141,27 +155,14 @@ def complete(n: int, every: float, recall: float) -> bool:
     return 0 < recall * every <= n
 
 
-def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """vec_id_a < vec_id_b and their cosine, for pairs whose cosine is ``threshold`` at least.
-
-    Every vector asks. Null vectors, vectors with null or infinite parts, zero vectors, those
-    not of the usual size and rows without an id are in no pair; repeated rows count once, and
-    ids with several vectors pair by their most similar ones. Other columns are not read. An
-    empty table has no pairs. The codebooks, which are broadcast, grow as the square root of
-    the number of vectors.
-    """
-    spark = vectors.sparkSession
-    units = checkpointed(_normalised(vectors, id_col, vector_col))
-    size = units.agg(F.count("*").alias("n"), F.max(F.length("v")).alias("d")).first()
-    n, d = size["n"], (size["d"] or 8) // 4
-    schema = "vec_id_a bigint, vec_id_b bigint, cosine double"
-    if n < 2:
-        return spark.createDataFrame([], schema)
+def _of_size(units: DataFrame, n: int, d: int, threshold: float, recall: float) -> DataFrame:
+    """Pairs (a < b, cosine) of the k of distinct vectors of one size."""
+    spark = units.sparkSession
     k = max(1, min(n, round((n / OCCUPANCY) ** 0.5)))
     shared = spark.sparkContext.broadcast(codebooks(units, d, k))
     cut = d // 2
 
-    def placed(visits: int):
+    def placed(done: int, visits: int):
         def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 x = _matrix(batch.column(1), d).astype(np.float64)
@@ -169,21 +170,57 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, recall: fl
                     rows = x[s : s + BLOCK]
                     one, two = _distances(rows[:, :cut], shared.value[0]), _distances(rows[:, cut:], shared.value[1])
                     cells = nearest_cells(one, two, visits)
-                    at = pa.array(np.repeat(np.arange(s, s + len(rows)), cells.shape[1]))
-                    ids, v = batch.column(0), batch.column(1)
-                    yield pa.record_batch([pa.array(cells.ravel()), pa.array(np.ones(cells.size, np.int32)), ids.take(at), v.take(at)], ["cell", "query", "id", "v"])
-                    own = slice(s, s + len(rows))
-                    yield pa.record_batch([pa.array(np.ascontiguousarray(cells[:, 0])), pa.array(np.zeros(len(rows), np.int32)), ids[own], v[own]], ["cell", "query", "id", "v"])
+                    own, new = np.ascontiguousarray(cells[:, 0]), cells[:, done:]
+                    at = pa.array(np.repeat(np.arange(s, s + len(rows)), new.shape[1]))
+                    keys, v = batch.column(0), batch.column(1)
+                    yield pa.record_batch([pa.array(new.ravel()), pa.array(np.ones(new.size, np.int32)), keys.take(at), v.take(at)], ["cell", "query", "k", "v"])
+                    here = slice(s, s + len(rows))
+                    yield pa.record_batch([pa.array(own), pa.array(np.zeros(len(rows), np.int32)), keys[here], v[here]], ["cell", "query", "k", "v"])
 
         return work
 
-    parts, visits = int(spark.conf.get("spark.sql.shuffle.partitions")), min(VISITS, k * k)
+    schema = "cell bigint, query int, k bigint, v binary"
+    own = units.mapInArrow(placed(1, 1), schema).where("query = 0").groupBy("cell").agg(F.count("*").alias("many"))
+    large = checkpointed(own.where(F.col("many") > PART).select(F.col("cell").alias("large"), F.ceil(F.col("many") / PART).cast("int").alias("parts")))
+    parts, done, visits = int(spark.conf.get("spark.sql.shuffle.partitions")), 0, min(VISITS, k * k)
+    rounds: list[DataFrame] = []
     while True:
-        cells = units.mapInArrow(placed(visits), "cell bigint, query int, id bigint, v binary").repartition(parts, "cell").sortWithinPartitions("cell")
-        found = cells.mapInArrow(_asked(threshold, d), f"{schema}, side int").groupBy("vec_id_a", "vec_id_b").agg(F.max("cosine").alias("cosine"), F.bit_or("side").alias("side"))
-        found = checkpointed(found)
+        cells = units.mapInArrow(placed(done, visits), schema).join(large, F.col("cell") == F.col("large"), "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+        part = F.when(F.col("query") == 0, F.array(F.pmod(F.xxhash64("k"), F.col("parts")).cast("int"))).otherwise(F.sequence(F.lit(0), F.col("parts") - 1))
+        cells = cells.select("cell", F.explode(part).alias("part"), "query", "k", "v").repartition(parts, "cell", "part").sortWithinPartitions("cell", "part", "query")
+        found = cells.mapInArrow(_asked(threshold), "a bigint, b bigint, cosine double, side int")
+        for before in rounds:
+            found = found.union(before)
+        found = checkpointed(found.groupBy("a", "b").agg(F.max("cosine").alias("cosine"), F.bit_or("side").alias("side")))
+        rounds = [found]
         row = found.agg(F.count("*").alias("n"), F.count_if(F.col("side") != 2).alias("a"), F.count_if(F.col("side") != 1).alias("b"), F.count_if(F.col("side") == 3).alias("m")).first()
         every = (row["a"] + 1) * (row["b"] + 1) / (row["m"] + 1) - 1
         if complete(row["n"], every, recall) or visits >= k * k:
             return found.drop("side")
-        visits = min(2 * visits, k * k)
+        done, visits = visits, min(2 * visits, k * k)
+
+
+def similar_vectors(vectors: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, id_col: str = "vec_id", vector_col: str = "embedding") -> tuple[DataFrame, DataFrame]:
+    """(rows, pairs): id and k (hash of its vector) of each row that can be compared, and the
+    pairs (a < b, cosine) of the k of distinct vectors that reach the threshold."""
+    units = checkpointed(_normalised(vectors, id_col, vector_col))
+    distinct = checkpointed(units.groupBy("k").agg(F.min("v").alias("v")))
+    pairs = units.sparkSession.createDataFrame([], "a bigint, b bigint, cosine double")
+    for size in distinct.groupBy(F.length("v").alias("bytes")).count().where("count > 1").orderBy("bytes").collect():
+        pairs = pairs.union(_of_size(distinct.where(F.length("v") == size["bytes"]), size["count"], size["bytes"] // 4, threshold, recall))
+    return units.select("id", "k"), pairs
+
+
+def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+    """vec_id, class_id, class_key and n_links, one row for each vector: an id with one of its
+    vectors.
+
+    n_links counts the other vectors whose cosine with it is ``threshold`` at least, equal ones
+    among them; classes are linked over any number of links, class_id is the least vec_id of a
+    class and class_key the hash of its vector. Every vector asks. Vectors of different sizes
+    are compared with those of their size. Null vectors, vectors with null or infinite parts, zero
+    vectors, those of one number and rows without an id are left out; repeated rows count
+    once. Other columns are not read. An empty table has no rows. The codebooks, which are
+    broadcast, grow as the square root of the number of vectors.
+    """
+    return classes(*similar_vectors(vectors, threshold, recall, id_col, vector_col)).withColumnRenamed("id", "vec_id")
