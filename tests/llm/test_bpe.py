@@ -1,10 +1,13 @@
 import json
 import os
+import random
 
 import pytest
 
 from textlake.llm import bpe, token_counts
 
+from .conftest import prose
+
 TEXTS = ["", " ", "Hello  world\n\n 123 it's we'll they'VE", "naïve Ünïcode 漢字 😀😀  x", "a" * 5000, "\t\r\n mixed   white ", "'", "x'", "it's'd 's", "don't  stop\n", "<|endoftext|>", "£$%^ 12ab34 _under_score_"]
 FILE = bpe.VOCABULARY
 needs_files = pytest.mark.skipif(not os.path.exists(FILE), reason="no vocabulary files")
@@ -62,5 +65,17 @@ def test_odd_rows(odd_docs, no_docs):
     assert token_counts.token_counts(no_docs).count() == 0
 
 
+@needs_files
+def test_long_texts_by_chunks(spark):
+    rng = random.Random(3)
+    texts = [prose(rng, 40_000), "x" * 70_000, "漢字" * 40_000 + " end", "word " * 20_000, "\n" * 70_000, "a, b; " * 15_000 + "'s" * 9_000, "short"]
+    assert sum(len(t) > token_counts.CHUNK for t in texts) == len(texts) - 1
+    rows = [(i // 2, t, 0) for i, t in enumerate(texts)] + [(None, texts[0], 0), (0, texts[0], 1), (9, None, 0)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, of int")
+    got = token_counts.token_counts(df).collect()
+    want = sorted((-1 if i is None else i, -1 if t is None else len(bpe.tokenizer().encode(t))) for i, t, _ in rows)
+    assert sorted((-1 if r.doc_id is None else r.doc_id, -1 if r.n_tokens is None else r.n_tokens) for r in got) == want
+
+
 def test_vocabularies_are_not_copied():
     assert json.dumps(FILE).startswith('"/opt/')

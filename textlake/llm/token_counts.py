@@ -9,11 +9,11 @@ transition is annotated with the change in the count of emitted tokens (a merge
 back tokens). Pre-tokens are cut by a second transducer, an explicit table over character
 classes, which says for each transition whether a pre-token begins.
 
-Texts are cut into chunks. A chunk's map from the states it may be entered in to the states
-it may be left in, with the tokens emitted on the way, is kept in closed form (``ChunkMap``):
-between its first and last certain boundary the map is a constant count, before and after it
-the bytes decide. Maps compose associatively, so a text's chunks are folded by a balanced
-prefix scan, in any grouping.
+Texts of more than ``CHUNK`` characters are cut into chunks, which are counted wherever there is room. A
+chunk's map from the states it may be entered in to the states it may be left in, with the
+tokens emitted on the way, is kept in closed form (``ChunkMap``): between its first and last
+certain boundary the map is a constant count, before and after it the bytes decide. Maps
+compose associatively, so a text's maps come together in a balanced prefix scan, in any grouping.
 """
 
 from __future__ import annotations
@@ -27,13 +27,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import VOCABULARY, read_ranks
+from .cluster import whole_groups
 from .pretokens import cuts, distinct
 from .textcore import SLICE, buffers, slices
 
-#: Characters of a chunk; texts of more than four million bytes are counted by chunks.
-CHUNK = 1 << 20
-#: States a worker keeps; when there are more, it starts anew.
-STATES = 300_000
+#: Characters of a chunk.
+CHUNK = 1 << 16
+#: States and composed transitions a worker keeps; when there are more, it starts anew.
+STATES, LEAPS = 180_000, 500_000
 #: Bytes whose composed transitions are kept as one.
 LEAP = 3
 
@@ -132,7 +133,7 @@ class Transducer:
             part = text[i : i + LEAP]
             state, delta = get((state, part)) or self.leap(state, part)
             total += delta
-        if len(self.states) > STATES:
+        if len(self.states) > STATES or len(self.leaps) > LEAPS:
             self.clear()
         return total
 
@@ -154,7 +155,8 @@ class Counter:
         import regex
 
         self.transducer = Transducer(ranks)
-        self.boundary = regex.compile(r"(?<=[\p{L}\p{N}\p{P}\p{S}])(?= [\p{L}\p{N}])")
+        boundary = r"(?<=[\p{L}\p{N}\p{P}\p{S}])(?= [\p{L}\p{N}])"
+        self.first, self.last = regex.compile(boundary), regex.compile("(?r)" + boundary)
 
     def each(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Tokens of each of the texts laid end to end. Both ends of a text are boundaries."""
@@ -174,12 +176,10 @@ class Counter:
     def chunk(self, text: str) -> ChunkMap:
         """A letter, digit or sign before a blank and a letter or digit after it: there a
         pre-token ends, whatever comes before and after."""
-        first = self.boundary.search(text)
+        first = self.first.search(text)
         if first is None:
             return ChunkMap(text)
-        i, j = first.start(), first.start()
-        for match in self.boundary.finditer(text, max(i, len(text) - 4096)):
-            j = match.start()
+        i, j = first.start(), self.last.search(text).start()
         return ChunkMap(text[:i], self.of(text[i:j]), text[j:])
 
     def joined(self, left: ChunkMap, right: ChunkMap) -> ChunkMap:
@@ -211,8 +211,8 @@ class Counter:
     def total(self, whole: ChunkMap) -> int:
         return self.of(whole.head) + whole.count + (self.of(whole.tail) if whole.tail else 0)
 
-    def count(self, text: str) -> int:
-        return self.total(self.scan([self.chunk(text[i : i + CHUNK]) for i in range(0, len(text), CHUNK)]))
+    def count(self, text: str, size: int = CHUNK) -> int:
+        return self.total(self.scan([self.chunk(text[i : i + size]) for i in range(0, len(text), size)]))
 
 
 _MADE: dict[str, Counter] = {}
@@ -224,9 +224,42 @@ def counter(path: str = VOCABULARY) -> Counter:
     return _MADE[path]
 
 
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for r in range(batch.num_rows):
+            text = batch.column(2)[r].as_py()
+            parts = [text[i : i + CHUNK] for i in range(0, len(text), CHUNK)]
+            n = len(parts)
+            yield pa.record_batch([batch.column(0).take(pa.array([r] * n)), batch.column(1).take(pa.array([r] * n)), pa.array(range(n), pa.int32()), pa.array(parts, pa.string())], ["id", "t", "no", "piece"])
+
+
+def _long_counts(texts: DataFrame, vocabulary: str) -> DataFrame:
+    """id, t and n_tokens of texts (id, t, text), chunk by chunk."""
+    parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    pieces = texts.mapInArrow(_pieces, "id bigint, t bigint, no int, piece string").repartition(parts, "id", "t", "no")
+
+    def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens = counter(vocabulary)
+        for batch in batches:
+            maps = [tokens.chunk(x) for x in batch.column(3).to_pylist()]
+            columns = [pa.array([getattr(m, c) for m in maps], kind) for c, kind in (("head", pa.string()), ("count", pa.int64()), ("tail", pa.string()))]
+            yield pa.record_batch([*batch.columns[:3], *columns], ["id", "t", "no", "head", "count", "tail"])
+
+    def scanned(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        tokens = counter(vocabulary)
+        of: dict[tuple, list[ChunkMap]] = {}
+        for row in table.to_pylist():
+            of.setdefault((row["id"], row["t"]), []).append(ChunkMap(row["head"], row["count"], row["tail"]))
+        counts = [tokens.total(tokens.scan(maps)) for maps in of.values()]
+        yield pa.record_batch([pa.array([k[0] for k in of], pa.int64()), pa.array([k[1] for k in of], pa.int64()), pa.array(counts, pa.int64())], ["id", "t", "n"])
+
+    maps = pieces.mapInArrow(mapped, "id bigint, t bigint, no int, head string, count bigint, tail string")
+    return maps.repartition(parts, "id", "t").sortWithinPartitions("id", "t", "no").mapInArrow(lambda batches: whole_groups(batches, ["id", "t"], scanned), "id bigint, t bigint, n bigint")
+
+
 def token_counts(docs: DataFrame, vocabulary: str = VOCABULARY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and n_tokens, exactly as many as the vocabulary's encoder gives, one row for
-    each row of ``docs``; one pass without a shuffle.
+    each row of ``docs``. Only texts of more than ``CHUNK`` characters are shuffled, in chunks.
 
     A null text has a null count, an empty one 0. Repeated rows give repeated rows; null ids
     stay; other columns are not read.
@@ -238,12 +271,12 @@ def token_counts(docs: DataFrame, vocabulary: str = VOCABULARY, id_col: str = "d
             data, offsets = buffers(batch.column(1))
             counts = np.zeros(batch.num_rows, np.int64)
             for i, j in slices(offsets, 4 * SLICE):
-                part = data[offsets[i] : offsets[j]]
-                if j == i + 1 and len(part) > 4 * SLICE:
-                    counts[i] = tokens.count(part.tobytes().decode())
-                else:
-                    counts[i:j] = tokens.each(part, offsets[i : j + 1] - offsets[i])
+                counts[i:j] = tokens.each(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
             null = batch.column(1).is_null().to_numpy(zero_copy_only=False)
             yield pa.record_batch([batch.column(0), pa.array(counts, mask=null)], ["doc_id", "n_tokens"])
 
-    return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(work, "doc_id bigint, n_tokens bigint")
+    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    short = rows.where((F.length("text") <= CHUNK) | F.col("text").isNull()).mapInArrow(work, "doc_id bigint, n_tokens bigint")
+    long = rows.where(F.length("text") > CHUNK).withColumn("of", F.xxhash64("text"))
+    counted = _long_counts(long.select(F.col("doc_id").alias("id"), F.col("of").alias("t"), "text").dropDuplicates(["id", "t"]), vocabulary)
+    return short.union(long.select("doc_id", "of").join(counted, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("of") == F.col("t"))).select("doc_id", F.col("n").alias("n_tokens")))
