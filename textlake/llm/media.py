@@ -88,9 +88,12 @@ def _track(data: memoryview, begin: int, end: int) -> dict:
     (entries,) = read(b"stsd", ">I", 4)
     codec = read(b"stsd", ">4s", 12)[0].decode("latin-1") if entries else None
 
+    sizes: np.ndarray | None = None  # None where all samples have the same size: then nothing is made for each
+    size = 0
     if b"stsz" in found:
         size, n = read(b"stsz", ">II", 4)
-        sizes = np.full(n, size, np.int64) if size else _table(data, *found[b"stsz"], 8, ">u4", 1)[:, 0]
+        if not size:
+            sizes = _table(data, *found[b"stsz"], 8, ">u4", 1)[:, 0]
     elif b"stz2" in found:
         width, n = read(b"stz2", ">BI", 7)
         if width in (8, 16):
@@ -105,7 +108,6 @@ def _track(data: memoryview, begin: int, end: int) -> dict:
             raise Malformed("sizes of an unknown width")
     else:
         raise Malformed("no sizes")
-    n = len(sizes)
     if b"co64" in found:
         chunks = _table(data, *found[b"co64"], 4, ">u8", 1)[:, 0]
     elif b"stco" in found:
@@ -113,33 +115,36 @@ def _track(data: memoryview, begin: int, end: int) -> dict:
     else:
         raise Malformed("no chunk offsets")
     runs = _table(data, *found[b"stsc"], 4, ">u4", 3) if b"stsc" in found else np.zeros((0, 3), np.int64)
+    per = np.zeros(len(chunks), np.int64)
     if n:
         if not len(runs) or runs[0, 0] != 1 or (np.diff(runs[:, 0]) <= 0).any() or runs[-1, 0] > len(chunks):
             raise Malformed("chunks and their runs differ")
         per = np.repeat(runs[:, 1], np.diff(np.append(runs[:, 0], len(chunks) + 1)))
         if per.sum() != n:
             raise Malformed("chunks and sizes differ")
-        chunk = np.repeat(np.arange(len(chunks)), per)
-        total = np.concatenate([[0], np.cumsum(sizes)])
-        offsets = chunks[chunk] + total[:-1] - total[np.concatenate([[0], np.cumsum(per)])[chunk]]
-    else:
-        offsets = np.zeros(0, np.int64)
     count, delta = _sized(_table(data, *found[b"stts"], 4, ">u4", 2)) if b"stts" in found else (np.zeros(0, np.int64),) * 2
     if count.sum() != n:
         raise Malformed("times and sizes differ")
     if not duration or duration in (0xFFFFFFFF, 0xFFFFFFFFFFFFFFFF):
         duration = int((count * delta).sum())
-    keys = np.arange(n)
+    total = None if sizes is None else np.concatenate([[0], np.cumsum(sizes)])
+    before = lambda i: i * size if total is None else total[i]  # noqa: E731  bytes of the samples before one
+    edges = np.concatenate([[0], np.cumsum(per)])
     if b"stss" in found:
         keys = _table(data, *found[b"stss"], 4, ">u4", 1)[:, 0] - 1
         if len(keys) and (keys.min() < 0 or keys.max() >= n or (np.diff(keys) <= 0).any()):
             raise Malformed("keyframes outside the samples")
-    start, length = offsets[keys], sizes[keys]
-    if len(keys):  # keyframes that follow each other in time and in the file are one range
-        new = np.append(True, (np.diff(keys) != 1) | (start[1:] != start[:-1] + length[:-1]))
+        chunk = np.searchsorted(edges, keys, "right") - 1
+        start, length, follows, n_keys = chunks[chunk] + before(keys) - before(edges[chunk]), before(keys + 1) - before(keys), np.diff(keys) == 1, len(keys)
+    else:  # all are keyframes: a chunk is a range
+        some = np.flatnonzero(per)
+        start, length, n_keys = chunks[some], before(edges[some + 1]) - before(edges[some]), n
+        follows = np.ones(max(0, len(some) - 1), bool)
+    if len(start):  # keyframes that follow each other in time and in the file are one range
+        new = np.append(True, ~follows | (start[1:] != start[:-1] + length[:-1]))
         first = np.flatnonzero(new)
         length, start = np.add.reduceat(length, first), start[first]
-    return {"track_id": track_id, "handler": handler.decode("latin-1"), "codec": codec, "timescale": timescale, "duration": duration, "n_samples": n, "n_keyframes": len(keys), "keyframes": [{"byte_offset": a, "byte_length": b} for a, b in zip(start.tolist(), length.tolist(), strict=True)], "error": None}
+    return {"track_id": track_id, "handler": handler.decode("latin-1"), "codec": codec, "timescale": timescale, "duration": duration, "n_samples": n, "n_keyframes": n_keys, "keyframes": [{"byte_offset": a, "byte_length": b} for a, b in zip(start.tolist(), length.tolist(), strict=True)], "error": None}
 
 
 def tracks(data: bytes | None) -> list[dict]:
