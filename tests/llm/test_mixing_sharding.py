@@ -26,6 +26,19 @@ def test_sizes_are_exact(spark):
     assert mixing.mixed(df, total=500, weights={"a": 1, "b": 3}).count() == 500
 
 
+def test_clashing_columns(spark):
+    df, rows = docs_of(spark, 60)
+    names = ["__id", "__source", "__s", "__size", "__tie", "__rank", "__bucket", "__copy", "copy", "c0", "c1", "x2", "n_chars", "target", "n_copies", "place"]
+    wide = df.select("*", *(F.lit(i).alias(n) for i, n in enumerate(names)))
+    want = {r.doc_id: r.n_copies for r in mixing.sampled(df).collect()}
+    got = mixing.sampled(wide)
+    assert got.columns == [c for c in wide.columns if c != "n_copies"] + ["n_copies"]
+    assert {r.doc_id: r.n_copies for r in got.collect()} == want
+    many = mixing.mixed(wide)
+    assert many.columns == wide.columns and Counter(r.doc_id for r in many.collect()) == want
+    assert {r.n_copies for r in many.collect()} == {names.index("n_copies")}
+
+
 def test_inclusion_follows_length(spark):
     df, rows = docs_of(spark)
     chars = sum(len(t) for _, t, s in rows if s == "a")

@@ -56,11 +56,15 @@ def sampled(docs: DataFrame, total: int | None = None, weights: dict[str, float]
     the cut stay or go together, which may change the size by their number. Other columns
     are carried, whatever their names (n_copies is replaced). An empty table stays empty.
     """
-    goal = targets(docs, total, weights, source_col, text_col).select(F.col("source").alias("__source"), F.col("n_chars").alias("__chars"), F.col("target").alias("__target"))
+    names = [c for c in docs.columns if c != "n_copies"]
+    place = {c: f"c{i}" for i, c in enumerate(docs.columns)}  # so that no column is named as one below
+    inner = docs.toDF(*place.values())
+    id_col, source_col, text_col = place[id_col], place[source_col], place[text_col]
+    goal = targets(inner, total, weights, source_col, text_col).select(F.col("source").alias("__source"), F.col("n_chars").alias("__chars"), F.col("target").alias("__target"))
     size = F.coalesce(F.length(text_col), F.lit(0)).cast("bigint")
 
     def ranked(columns: list[Column]) -> DataFrame:
-        x = docs.select(*columns, F.col(source_col).alias("__s"), F.col(id_col).cast("bigint").alias("__id"), size.alias("__size"), F.xxhash64(text_col).alias("__tie")).where("__size > 0")
+        x = inner.select(*columns, F.col(source_col).alias("__s"), F.col(id_col).cast("bigint").alias("__id"), size.alias("__size"), F.xxhash64(text_col).alias("__tie")).where("__size > 0")
         x = x.join(goal, F.col("__s").eqNullSafe(F.col("__source")))
         x = x.withColumn("__whole", F.expr("__target * __size div __chars")).withColumn("__part", F.expr("__target * __size % __chars"))
         p, u = F.col("__part").cast("double") / F.col("__chars").cast("double"), uniform(F.col("__id"), seed)
@@ -76,16 +80,18 @@ def sampled(docs: DataFrame, total: int | None = None, weights: dict[str, float]
     edge = slim.join(cut, F.col("__s").eqNullSafe(F.col("__cs")) & (F.col("__bucket") == F.col("__cb")))
     edge = edge.withColumn("__row", F.row_number().over(Window.partitionBy("__s").orderBy("__rank", "__id", "__tie"))).where("__row = __left")
     edge = edge.select(F.col("__s").alias("__es"), F.struct("__rank", "__id", "__tie").alias("__edge"))
-    kept = [F.col(c) for c in docs.columns if c != "n_copies"]
+    kept = [F.col(place[c]) for c in names]
     full = ranked(kept).join(edge, F.col("__s").eqNullSafe(F.col("__es")), "left")
     taken = F.col("__rank").isNotNull() & F.col("__edge").isNotNull() & (F.struct("__rank", "__id", "__tie") <= F.col("__edge"))
     full = full.withColumn("n_copies", F.col("__whole") + F.coalesce(taken, F.lit(False)).cast("bigint"))
-    return full.where("n_copies > 0").select(*kept, "n_copies")
+    return full.where("n_copies > 0").select(*kept, "n_copies").toDF(*names, "n_copies")
 
 
 def mixed(docs: DataFrame, **options: object) -> DataFrame:
-    """``docs`` with each row as many times as it has copies, for a corpus on disk."""
-    return sampled(docs, **options).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("n_copies")))).select(*docs.columns)
+    """``docs`` with each row as many times as it has copies, for a corpus on disk; a column
+    n_copies of ``docs`` is carried. Else as ``sampled``."""
+    rows = sampled(docs.toDF(*(f"x{i}" for i in range(len(docs.columns)))), **{k: f"x{docs.columns.index(options.get(k, c))}" for k, c in (("id_col", "doc_id"), ("source_col", "source"), ("text_col", "text"))}, **{k: v for k, v in options.items() if not k.endswith("_col")})
+    return rows.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("n_copies")))).drop("n_copies", "copy").toDF(*docs.columns)
 
 
 ORACLE_SQL = """
