@@ -38,8 +38,7 @@ def test_held_out_accuracy(spark):
     assert all(0 <= got[i].top_passage < got[i].n_passages == max(1, -(-len(t.split()) // q.PASSAGE)) for i, t, _, _ in held)
 
 
-def test_attention_gradient():
-    """Training steps follow the slope: a numeric check of the forward pass by its loss falling."""
+def test_attention_learns_the_passage_that_decides():
     rng = np.random.default_rng(1)
     many = rng.integers(1, 6, 80)
     at = np.concatenate([[0], np.cumsum(many)])
@@ -51,6 +50,38 @@ def test_attention_gradient():
     assert np.add.reduceat(a, at[:-1]) == pytest.approx(np.ones(80))
 
 
+def test_slopes_are_those_of_differences():
+    rng = np.random.default_rng(2)
+    at = np.array([0, 3, 4, 9])
+    x, y = rng.normal(size=(9, 4)), np.array([1.0, 0.0, 1.0])
+    w = {"encode": rng.normal(size=(4, 3)), "shift": rng.normal(size=3), "v": rng.normal(size=(3, 3)), "u": rng.normal(size=(3, 3)), "w": rng.normal(size=3), "o": rng.normal(size=3), "b": rng.normal(size=1)}
+    head = q.Head(np.zeros(4), np.ones(4), w)
+
+    def loss():
+        p = head.forward(x, at[:-1])["p"]
+        return -(y * np.log(p) + (1 - y) * np.log(1 - p)).mean()
+
+    slopes = head.slopes(x, at[:-1], y)
+    for name, value in w.items():
+        for i in np.ndindex(value.shape):
+            was = value[i]
+            value[i] = was + 1e-6
+            up = loss()
+            value[i] = was - 1e-6
+            down = loss()
+            value[i] = was
+            assert slopes[name][i] == pytest.approx((up - down) / 2e-6, abs=1e-7)
+
+
+def test_labels_of_other_values(spark):
+    rows, labels = corpus()
+    train = spark.createDataFrame([r[:2] for r in rows[:200]], "doc_id bigint, text string")
+    plain = spark.createDataFrame(labels[:200], "doc_id bigint, quality int, toxic int")
+    odd = plain.union(spark.createDataFrame([(1, -5, 9), (2, 3, None), (700, 18, 7)], plain.schema))
+    want, got = ({r.doc_id: (r.quality_score, r.toxic_score) for r in q.classify(train, x).collect()} for x in (plain, odd))
+    assert got == {i: pytest.approx(p) for i, p in want.items()}
+
+
 def test_odd_rows(spark, odd_docs, no_docs):
     rows, labels = corpus()
     gold = spark.createDataFrame([*labels[:200], (None, 1, 0), (3, None, None), (0, 1, None)], "doc_id bigint, quality int, toxic int")

@@ -121,6 +121,19 @@ class Head:
         z = _segments(a[:, None] * h, starts)
         return {"h": h, "t": t, "g": g, "a": a, "z": z, "p": _sigmoid(z @ w["o"] + w["b"][0]), "many": many}
 
+    def slopes(self, x: np.ndarray, starts: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
+        """The slopes of the mean log loss of bags with labels ``y``, by weight."""
+        w, f = self.weights, self.forward(x, starts)
+        h, t, g, a, many = (f[k] for k in ("h", "t", "g", "a", "many"))
+        slope = (f["p"] - y) / len(y)
+        dz = np.repeat(slope, many)[:, None] * w["o"]
+        da = (h * dz).sum(1)
+        de = a * (da - np.repeat(_segments(a * da, starts), many))
+        dtg = de[:, None] * w["w"]
+        dt, dg = dtg * g * (1 - t * t), dtg * t * g * (1 - g)
+        dh = (a[:, None] * dz + dt @ w["v"].T + dg @ w["u"].T) * (h > 0)
+        return {"encode": x.T @ dh, "shift": dh.sum(0), "v": h.T @ dt, "u": h.T @ dg, "w": (t * g).T @ de, "o": f["z"].T @ slope, "b": np.array([slope.sum()])}
+
     def score(self, x: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The probability of each bag and the attention of each passage."""
         found = self.forward((x - self.mean) / self.scale, at[:-1])
@@ -150,16 +163,7 @@ def fitted(x: np.ndarray, at: np.ndarray, y: np.ndarray, epochs: int = 30, hidde
             starts = np.concatenate([[0], np.cumsum(many)[:-1]])
             rows = np.repeat(at[bags] - starts, many) + np.arange(many.sum())
             xb = x[rows]
-            f = head.forward(xb, starts)
-            h, t, g, a = f["h"], f["t"], f["g"], f["a"]
-            slope = (f["p"] - y[bags]) / len(bags)
-            dz = np.repeat(slope, many)[:, None] * w["o"]
-            da = (h * dz).sum(1)
-            de = a * (da - np.repeat(_segments(a * da, starts), many))
-            dtg = de[:, None] * w["w"]
-            dt, dg = dtg * g * (1 - t * t), dtg * t * g * (1 - g)
-            dh = (a[:, None] * dz + dt @ w["v"].T + dg @ w["u"].T) * (h > 0)
-            slopes = {"encode": xb.T @ dh, "shift": dh.sum(0), "v": h.T @ dt, "u": h.T @ dg, "w": (t * g).T @ de, "o": f["z"].T @ slope, "b": np.array([slope.sum()])}
+            slopes = head.slopes(xb, starts, y[bags])
             step += 1
             for name, value in slopes.items():
                 value = value + 1e-4 * w[name]
@@ -232,11 +236,13 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Classifie
 
     The lexicons that encode a training document come from the other half of the sample, so
     that words seen once don't pass for evidence; new documents get the lexicons of both.
-    Repeated labels of a document count once, with the worse value. A label without two
-    values gives no head.
+    Repeated labels of a document count once, with the worse value; values other than 0 and 1
+    count as missing. A label without two values gives no head.
     """
     spark = docs.sparkSession
-    worst = labels.where("doc_id is not null").groupBy(F.col("doc_id").cast("bigint").alias("doc_id")).agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
+    known = lambda c: F.when(F.col(c).isin(0, 1), F.col(c).cast("int")).alias(c)
+    worst = labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), known("quality"), known("toxic")).where("doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
+    worst = worst.where("quality is not null or toxic is not null")
     chosen = worst.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     q, t = F.coalesce(F.col("quality"), F.lit(2)), F.coalesce(F.col("toxic"), F.lit(2))
     group = (F.pmod(F.xxhash64(F.lit(5), "doc_id"), F.lit(2)) * 9 + q * 3 + t).cast("int")
