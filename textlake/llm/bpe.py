@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .cluster import tidy
 from .pretokens import cuts, distinct
 from .textcore import buffers, slices
 
@@ -136,6 +137,7 @@ def encode(docs: DataFrame, vocabulary: str = VOCABULARY, id_col: str = "doc_id"
     true. Repeated rows give repeated rows; null ids stay; other columns are not read.
     """
 
+    @tidy
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = tokenizer(vocabulary)
         for batch in batches:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import tempfile
 from collections.abc import Callable, Iterator
 
@@ -51,6 +53,21 @@ def checkpointed(df: DataFrame) -> DataFrame:
         spark.conf.set(CLEANUP, before)
 
 
+def tidy(work: Callable[..., Iterator[pa.RecordBatch]]) -> Callable[..., Iterator[pa.RecordBatch]]:
+    """A kernel that gives the memory it has freed back to the system when it ends: Python
+    workers live on for other kernels."""
+
+    @functools.wraps(work)
+    def kernel(*args: object) -> Iterator[pa.RecordBatch]:
+        yield from work(*args)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim is not None:
+            trim(0)
+
+    return kernel
+
+
 def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str], work: Callable[[pa.Table], Iterator[pa.RecordBatch]]) -> Iterator[pa.RecordBatch]:
     """Calls ``work`` with tables that hold only whole groups of the keys: the input is
     sorted by them, and the last group of a batch waits for the next one."""

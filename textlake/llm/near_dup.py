@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .cluster import checkpointed, fresh, whole_groups
+from .cluster import checkpointed, fresh, tidy, whole_groups
 from .textcore import buffers, mix, ngrams, slices, words
 
 GRAM, THRESHOLD, RECALL = 3, 0.5, 0.95
@@ -59,6 +59,7 @@ def signatures(grams: np.ndarray, at: np.ndarray) -> np.ndarray:
     return out
 
 
+@tidy
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row for each text; one without words has neither key nor signature."""
     for batch in batches:
@@ -97,6 +98,7 @@ def _labels(depth: int):
     return work
 
 
+@tidy
 def _matches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs whose labels are equal as far as they are given, from sorted tries."""
 
@@ -157,7 +159,7 @@ def _verified(threshold: float):
         if good.any():
             yield pa.record_batch([*(pa.array(x[good]) for x in pairs), pa.array(share[good])], [*PAIR, "jaccard"])
 
-    return lambda batches: whole_groups(batches, ["home"], of)
+    return tidy(lambda batches: whole_groups(batches, ["home"], of))
 
 
 def _sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

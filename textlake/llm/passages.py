@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .cluster import checkpointed, fresh
+from .cluster import checkpointed, fresh, tidy
 from .textcore import SLICE, buffers, mix, slices, words
 
 #: Words of the shortest passage, of a token of a window and of a token of the comparison.
@@ -154,6 +154,7 @@ def parted(columns: list[np.ndarray], salt: int) -> list[np.ndarray]:
     return [np.concatenate([own, v[top]]), *(np.concatenate([x, x[top]]) for x in (ids, t, s))]
 
 
+@tidy
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     from pyspark import TaskContext
 
@@ -223,6 +224,7 @@ def links(v: np.ndarray, ids: np.ndarray, s: np.ndarray) -> tuple[np.ndarray, np
     return x[meet], y[meet], left
 
 
+@tidy
 def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Linked documents and how much speaks for them (1 for a link, 2 for one that agrees in a
     side), from rows sorted by v and id, in blocks; of a group that goes on in the next block
@@ -309,10 +311,16 @@ class _Texts:
 
     def __init__(self, packed: list[bytes]) -> None:
         self.raw = [zlib.decompress(x) for x in packed]
-        self.offsets = np.concatenate([[0], np.cumsum([len(x) for x in self.raw])])
-        data = np.frombuffer(b"".join(self.raw), np.uint8)
-        self.begin, self.end, value, self.bounds = words(data, self.offsets)
-        self.parts = _cut(*shingles(value, self.bounds, EXACT))
+        self.offsets = np.concatenate([[0], np.cumsum([len(x) for x in self.raw])]).astype(np.int64)
+        begins, ends, bounds, self.parts = [], [], [np.zeros(1, np.int64)], []
+        for i, j in slices(self.offsets):
+            at = self.offsets[i]
+            begin, end, value, own = words(np.frombuffer(b"".join(self.raw[i:j]), np.uint8), self.offsets[i : j + 1] - at)
+            begins.append(begin + at)
+            ends.append(end + at)
+            self.parts += _cut(*shingles(value, own, EXACT))
+            bounds.append(own[1:] + bounds[-1][-1])
+        self.begin, self.end, self.bounds = np.concatenate(begins), np.concatenate(ends), np.concatenate(bounds)
         self.sorted: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
     def ordered(self, r: int) -> tuple[np.ndarray, np.ndarray]:
@@ -328,6 +336,7 @@ class _Texts:
         return found[: len(first)], found[len(first) :]
 
 
+@tidy
 def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = [s.split()[0] for s in SPANS.split(", ")]
     kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int32()]
@@ -361,7 +370,7 @@ def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             before = len(packed)
             pairs.append((number((x[r], xt[r]), xs[r]), number((y[r], yt[r]), ys[r])))
             size += sum(map(len, packed[before:]))
-            if size >= SLICE:
+            if size >= SLICE // 2:
                 yield judged()
                 size = 0
     if pairs:

@@ -22,9 +22,13 @@ def _classes() -> np.ndarray:
     import regex
 
     out = np.full(0x110000, SIGN, np.uint8)
-    every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
-    for kind, pattern in ((LETTER, r"\p{L}+"), (DIGIT, r"\p{N}+"), (SPACE, r"\s+")):
-        out[[ord(c) for run in regex.findall(pattern, every) for c in run]] = kind
+    kinds = [(kind, regex.compile(pattern)) for kind, pattern in ((LETTER, r"\p{L}+"), (DIGIT, r"\p{N}+"), (SPACE, r"\s+"))]
+    for first in range(0, len(out), 4096):  # blocks, as each worker makes this table
+        codes = [c for c in range(first, first + 4096) if not 0xD800 <= c < 0xE000]
+        every = "".join(map(chr, codes))
+        for kind, pattern in kinds:
+            for run in pattern.finditer(every):
+                out[codes[run.start()] : codes[run.end() - 1] + 1] = kind
     out[32] = BLANK
     return out
 
