@@ -34,9 +34,10 @@ def test_archives(spark, tmp_path):
 
 
 def test_slash_tagged(spark, tmp_path):
-    put(tmp_path, "ca01", "\n\n\tThe/at cat/nn ``/`` 1/2/cd ./.\nIt/pps sat/vbd\n\n\nNext/ap\n")
+    put(tmp_path, "ca01", "\n\n\tThe/at cat/nn ``/`` 1/2/cd ./.\n\nIt/pps sat/vbd\n\n\nNext/ap\n")
     rows = readers.read_corpus(spark, "slash-tagged", str(tmp_path)).orderBy("parag_ix", "sent_ix", "tok_ix").collect()
     assert [(r.word, r.pos) for r in rows] == [("The", "AT"), ("cat", "NN"), ('"', "``"), ("1/2", "CD"), (".", "."), ("It", "PPS"), ("sat", "VBD"), ("Next", "AP")]
+    assert [r.parag_ix for r in rows] == [0] * 7 + [1]  # one empty line parts sentences only
     assert {r.genre for r in rows} == {"press-reportage"} and len({(r.parag_ix, r.sent_ix) for r in rows}) == 3
 
 

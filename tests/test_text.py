@@ -27,7 +27,7 @@ CASES = [
 @pytest.mark.parametrize(("text", "want"), CASES)
 def test_merged_words(text, want):
     got = tokens.merged_words(text)
-    assert " ".join(w for w, _, _ in got).replace("6:10", "6 : 10").replace("6 : 10", "6 : 10") == want
+    assert " ".join(w for w, _, _ in got) == want
     assert all(text[b:e] == w for w, b, e in got)
 
 

@@ -146,7 +146,7 @@ def deps_tree(spark, d):
     return deps.groupBy("sent_id").applyInPandas(lambda p: p.head(1)[["sent_id"]].assign(tree=S.deps_tree([(r.rel, int(r.head_id), int(r.tail_id), r.tail) for r in p.itertuples()])), "sent_id int, tree string")
 
 
-_TURNS = """with q as (select conv_id, turn, role, regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+')[1:6] as w from conversations), a as (select conv_id, turn, w from q where role = 'user'), b as (select conv_id, turn - 1 as turn, w from q where role = 'assistant'),
+_TURNS = """with q as (select conv_id, turn, role, regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+') as w from conversations), a as (select conv_id, turn, w from q where role = 'user'), b as (select conv_id, turn - 1 as turn, w from q where role = 'assistant'),
 e as (select conv_id, turn, unnest(w) as e from a), f as (select conv_id, turn, unnest(range(len(w))) as ix, unnest(w) as f from b), p as (select * from e join f using (conv_id, turn)),
 s as (select e, f from (select distinct e, f from p)), t as (select e, f, 1.0 / count(*) over (partition by e) as t from s), r as (select p.e, p.f, t / sum(t) over (partition by conv_id, turn, ix) as c from p join t using (e, f)),
 c as (select e, f, sum(c) as c from r group by all)"""
@@ -154,8 +154,8 @@ c as (select e, f, sum(c) as c from r group by all)"""
 
 @query(f"{_TURNS} select e, f, round(c / sum(c) over (partition by e), 6) as t from c")
 def ibm1_em_round(spark, d):
-    """The first six words of a user's turn beside those of the answer."""
-    turns = table(spark, d, "conversations").withColumn("words", F.slice(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0)), 1, 6))
+    """The words of a user's turn beside those of the answer."""
+    turns = table(spark, d, "conversations").withColumn("words", F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0)))
     key = F.struct("conv_id", "turn")
     user = turns.where("role = 'user'").select(key.alias("k"), "words")
     answer = turns.where("role = 'assistant'").withColumn("turn", F.col("turn") - 1).select(F.struct("conv_id", "turn").alias("k"), "words")

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..operators import lexical_database as D
 from ..operators import lexics as X
+from ..operators import service as V
 from ..operators import tables as B
 from ..operators import taxonomy as G
 from ..operators import tokens as K
@@ -67,23 +69,24 @@ def iso_lang_join(spark, d):
     return docs(spark, d).join(F.broadcast(languages.iso_table(spark)), F.col("lang") == F.col("iso")).groupBy("iso", "name").agg(F.count("*").alias("n_docs"))
 
 
-@query("select vec_id, (vec_id % 3 <> 0) as known, case when vec_id % 3 <> 0 then round(list_sum(list_transform(embedding, lambda x: cast(x as double) * cast(x as double))), 6) else 0.0 end as norm2 from embeddings")
+@query("select vec_id, true as known, round(list_sum(list_transform(embedding, lambda x: cast(x as double) * cast(x as double))), 6) as norm2 from embeddings union all select -1 - vec_id, false, 0.0 from embeddings")
 def embed_lookup(spark, d):
     vectors = table(spark, d, "embeddings").select("vec_id", F.col("embedding").alias("vec"))
-    asked = vectors.select("vec_id")
+    # Every vector, and as many keys that no vector has.
+    asked = vectors.select("vec_id", F.lit(True).alias("known")).union(vectors.select(-1 - F.col("vec_id"), F.lit(False)))
     size = vectors.select(F.size("vec")).first()[0]
-    found = X.looked_up(asked, vectors.where("vec_id % 3 <> 0"), "vec_id", size)
+    found = X.looked_up(asked, vectors, "vec_id", size)
     norm = F.aggregate("vec", F.lit(0.0), lambda acc, x: acc + x.cast("double") * x.cast("double"))
-    return found.select("vec_id", (F.col("vec_id") % 3 != 0).alias("known"), F.round(norm, 6).alias("norm2"))
+    return found.select("vec_id", "known", F.round(norm, 6).alias("norm2"))
 
 
 @query(
-    """with v as (select vec_id, list_transform(embedding, lambda x: cast(x as double)) as e from embeddings), p as (select a.vec_id as asked, b.vec_id as other, round(list_cosine_similarity(a.e, b.e), 6) as cosine from v a join v b on a.vec_id <> b.vec_id where a.vec_id < 5),
+    """with v as (select vec_id, list_transform(embedding, lambda x: cast(x as double)) as e from embeddings), p as (select a.vec_id as asked, b.vec_id as other, round(list_cosine_similarity(a.e, b.e), 6) as cosine from v a join v b on a.vec_id <> b.vec_id where a.vec_id % 50 = 0),
 r as (select *, cast(row_number() over (partition by asked order by cosine desc, other) as int) as rank from p) select * from r where rank <= 10"""
 )
 def cosine_neighbours(spark, d):
     vectors = table(spark, d, "embeddings").select("vec_id", F.col("embedding").alias("vec"))
-    return X.neighbours(vectors, vectors.where("vec_id < 5"), "vec_id")
+    return X.neighbours(vectors, vectors.where("vec_id % 50 = 0"), "vec_id")
 
 
 _EDGES = """e(child, parent) as (select 'nation ' || n_nationkey, 'region ' || n_regionkey from nation union all select 'region ' || r_regionkey, 'world' from region
@@ -183,8 +186,9 @@ p as (select doc_id, w, coalesce(sum(length(w)) over (partition by doc_id order
 
 
 @query(
-    rf"""{_SPANS}, n as (select doc_id, beg, "end", case when regexp_matches(word, '^\p{{N}}') then 'NUM' else 'CAP' end as cat from k where regexp_matches(word, '^\p{{N}}') or (regexp_matches(word, '^\p{{Lu}}\p{{Lu}}')))
-select k.doc_id, cast(k.tok_ix as int) as tok_ix, k.word, n.cat from k join n on k.doc_id = n.doc_id and k.beg >= n.beg and k."end" <= n."end" """
+    rf"""{_SPANS}, n as (select doc_id, beg, "end", case when regexp_matches(word, '^\p{{N}}') then 'NUM' else 'CAP' end as cat from k where regexp_matches(word, '^\p{{N}}') or (regexp_matches(word, '^\p{{Lu}}\p{{Lu}}'))),
+b as (select *, unnest(range(beg // 64, (greatest("end", beg + 1) - 1) // 64 + 1)) as bucket from n)
+select k.doc_id, cast(k.tok_ix as int) as tok_ix, k.word, b.cat from k join b on k.doc_id = b.doc_id and k.beg // 64 = b.bucket and k.beg >= b.beg and k."end" <= b."end" """
 )
 def ner_align(spark, d):
     toks = alignment.placed(docs(spark, d))
@@ -203,3 +207,62 @@ def event_props(spark, d):
 def sample_resample(spark, d):
     place = F.conv(F.substring(F.md5(F.col("doc_id").cast("string")), 1, 4), 16, 10).cast("int")
     return docs(spark, d).select("doc_id", F.when(place < 45875, "train").otherwise("dev").alias("part"))
+
+
+_DB = """syn as (select p_partkey as synsetid, ['n', 'v', 'a', 'r'][p_size % 4 + 1] as pos, p_type as definition from part),
+nam as (select distinct p_partkey as synsetid, unnest(regexp_split_to_array(lower(p_name), '\\s+')) as lemma from part),
+sen as (select lemma, synsetid, pos, cast(row_number() over (partition by lemma, pos order by synsetid) as int) as sensenum from nam join syn using (synsetid)),
+ask as (select distinct lower(regexp_split_to_array(p_name, '\\s+')[1]) as lemma from part)"""
+
+
+def _database(spark, d):
+    parts = table(spark, d, "part")
+    return D.from_parts(parts), parts.select(F.lower(F.split("p_name", r"\s+")[0]).alias("lemma"))
+
+
+@query(f"with {_DB} select lemma, synsetid, pos, sensenum, lemma || '.' || pos || '.' || sensenum as name from sen where lemma in (select lemma from ask)")
+def lexical_senses(spark, d):
+    db, asked = _database(spark, d)
+    return db.senses_of(asked)
+
+
+@query(f"with {_DB} select synsetid, pos, definition from syn where synsetid in (select synsetid from sen where pos = 'n' and lemma in (select lemma from ask))")
+def lexical_synsets(spark, d):
+    db, asked = _database(spark, d)
+    return db.synsets_of(asked, "n")
+
+
+@query(f"with {_DB} select s.lemma || '.' || s.pos || '.' || s.sensenum as name, synsetid, definition from sen s join syn using (synsetid) where s.sensenum = 1")
+def lexical_names(spark, d):
+    db, _ = _database(spark, d)
+    names = db.senses_of(db.words.select("lemma")).where("sensenum = 1").select("name")
+    return db.named(names)
+
+
+@query(f"with {_DB} select synsetid, p_name as sample from syn join part on p_partkey = synsetid where pos = 'v'")
+def lexical_examples(spark, d):
+    db, _ = _database(spark, d)
+    return db.examples(db.synsets.where("pos = 'v'").select("synsetid"))
+
+
+@query(f"with {_DB} select synsetid, lemma from nam where synsetid in (select synsetid from syn where pos = 'a')")
+def lexical_lemmas(spark, d):
+    db, _ = _database(spark, d)
+    return db.lemmas(db.synsets.where("pos = 'a'").select("synsetid")).select("synsetid", "lemma")
+
+
+@query("select p_partkey as synsetid, p_partkey + 1 as other from part where p_partkey % 3 <> 0 and p_partkey + 1 in (select p_partkey from part)")
+def lexical_links(spark, d):
+    db, _ = _database(spark, d)
+    return db.related(db.synsets.select("synsetid"), "hypernym")
+
+
+@query(
+    rf"""with c as (select conv_id, turn, list_filter(regexp_split_to_array(text, '[\n\r]\s*[\n\r]'), lambda p: trim(p) <> '') as ps from conversations where length(text) <= 1000000), p as (select conv_id, turn, unnest(ps) as p from c)
+select conv_id, turn, cast(count(*) as bigint) as n_parags, cast(sum(len(regexp_extract_all(p, {W}))) as bigint) as n_words from p group by all"""
+)
+def service_tokenize(spark, d):
+    """The answers, read back from JSON and counted."""
+    rows = V.tokenize(table(spark, d, "conversations").withColumn("k", F.struct("conv_id", "turn")), "k")
+    got = rows.select("k.*", F.from_json("json", "result array<array<string>>, error string").alias("a")).where("a.error is null and size(a.result) > 0")
+    return got.select("conv_id", "turn", F.size("a.result").cast("bigint").alias("n_parags"), F.aggregate("a.result", F.lit(0).cast("bigint"), lambda n, x: n + F.size(x)).alias("n_words"))

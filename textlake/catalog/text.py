@@ -271,7 +271,7 @@ def kwic_counts(spark, d):
 _AMB = f"{TOK}, c as (select lower(word) as word, lang as cond, count(*) as n from tok group by all)"
 
 
-@query(f"{_AMB}, w as (select word, sum(n) as freq, max(n) as m from c group by word), b as (select c.word, max(c.cond) as cond from c join w on c.word = w.word and c.n = w.m group by c.word) select w.word, b.cond, cast(w.freq as bigint) as freq from w join b using (word) where w.freq > 20 and w.m > 0.97 * w.freq")
+@query(f"{_AMB}, w as (select word, cond, n, sum(n) over (partition by word) as freq, row_number() over (partition by word order by n desc, cond desc) as i from c) select word, cond, cast(freq as bigint) as freq from w where i = 1 and freq > 20 and n > 0.97 * freq")
 def dominant_condition(spark, d):
     return B.dominant(docs(spark, d), "lang")
 
@@ -349,6 +349,30 @@ def lm_perplexity(spark, d):
     return lm.perplexity(lm.bigram_scores(docs(spark, d), table(spark, d, "benchmark"), "item_id"), "backoff", "n_pairs")
 
 
+def _backoff(order: int) -> str:
+    starts = ", ".join(["'_s_'"] * (order - 1))
+    pad = rf"select list_concat([{starts}], regexp_extract_all(lower(text), {W}), ['_e_']) as t"
+    ends = lambda n, i="i": ", ".join(f"t[{i} - {n - j}] as w{order - n + j}" for j in range(1, n + 1))
+    cols = lambda n: ", ".join(f"w{order - n + j}" for j in range(1, n + 1))
+    out = f"with l as ({pad} from documents), i as (select t, unnest(range({order}, len(t) + 1)) as i from l), b as ({pad}, item_id from benchmark), j as (select item_id, t, unnest(range({order}, len(t) + 1)) as i from b), a as (select item_id, {ends(order)} from j)"
+    for n in range(1, order + 1):
+        over = f"partition by {', '.join(cols(n).split(', ')[:-1])}" if n > 1 else ""
+        out += f", f{n} as (select {ends(n)}, count(*) as f from i group by all), p{n} as (select {cols(n)}, cast(f as double) / sum(f) over ({over}) as p{n} from f{n})"
+    joins = " ".join(f"left join p{n} using ({cols(n)})" for n in range(order, 0, -1))
+    best = ", ".join(f"{0.4 ** (order - n)!r} * p{n}" for n in range(order, 0, -1))
+    return f"{out} select item_id, count(*) as n_words, count(p{order}) as n_seen, round(sum(log2(coalesce({best}, {0.4**order!r} / (select sum(f) from f1)))), 6) as backoff from a {joins} group by item_id"
+
+
+@query(_backoff(3))
+def lm_trigram_backoff(spark, d):
+    return lm.backoff_scores(docs(spark, d), table(spark, d, "benchmark"), "item_id", 3)
+
+
+@query(_backoff(5))
+def lm_5gram_backoff(spark, d):
+    return lm.backoff_scores(docs(spark, d), table(spark, d, "benchmark"), "item_id", 5)
+
+
 @query()
 def markov_generate(spark, d):
     words = lm.walked(N.transitions(docs(spark, d)), 200, 11)

@@ -59,6 +59,33 @@ def bigram_scores(docs: DataFrame, sents: DataFrame, key: str, alpha: float = AL
     return out.select(key, "n_pairs", "n_seen", F.when(F.col("n_seen") == F.col("n_pairs"), F.round("mle", 6)).alias("logprob"), F.round("b", 6).alias("backoff"))
 
 
+def backoff_scores(docs: DataFrame, sents: DataFrame, key: str, order: int = 3, alpha: float = ALPHA) -> DataFrame:
+    """key, n_words (with the end mark), n_seen (whole n-grams seen) and backoff (base 2): stupid
+    backoff of any order. Texts begin with order - 1 start marks. The share of an unseen
+    n-gram is alpha times that of the next shorter one; an unseen word's is that of a word seen once.
+    Each order is a table of its own, joined by the last words."""
+    names = [f"w{j}" for j in range(1, order + 1)]
+
+    def ending(rows: DataFrame, keep: list[str], n: int) -> DataFrame:
+        words = F.concat(F.array_repeat(F.lit("_s_"), order - 1), F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0)), F.array(F.lit("_e_")))
+        rows = rows.where("text is not null").select(*keep, words.alias("t")).select(*keep, "t", F.explode(F.expr(f"sequence({order}, size(t))")).alias("i"))
+        return rows.select(*keep, *(F.element_at("t", F.col("i") - n + j).alias(names[order - n + j - 1]) for j in range(1, n + 1)))
+
+    out = ending(sents, [key], order).groupBy(key, *names).agg(F.count("*").alias("n"))
+    best = []
+    for n in range(order, 0, -1):
+        own = names[order - n :]
+        freqs = ending(docs, [], n).groupBy(*own).agg(F.count("*").alias("freq"))
+        total = freqs.agg(F.sum("freq").alias("total"))
+        shares = conditional(freqs, own[:-1]) if n > 1 else freqs.crossJoin(F.broadcast(total)).withColumn("prob", F.col("freq") / F.col("total"))
+        out = out.join(shares.select(*own, F.col("prob").alias(f"p{n}")), own, "left")
+        best.append(alpha ** (order - n) * F.col(f"p{n}"))
+    out = out.crossJoin(F.broadcast(total))
+    score = F.coalesce(*best, alpha**order / F.col("total"))
+    seen = F.when(F.col(f"p{order}").isNotNull(), F.col("n")).otherwise(0)
+    return out.groupBy(key).agg(F.sum("n").alias("n_words"), F.sum(seen).alias("n_seen"), F.round(F.sum(F.col("n") * F.log2(score)), 6).alias("backoff"))
+
+
 def perplexity(scores: DataFrame, logprob: str, words: str) -> DataFrame:
     """One row: 2 to the mean negative log probability of a word."""
     return scores.agg(F.round(F.pow(F.lit(2.0), -F.sum(logprob) / F.sum(words)), 6).alias("perplexity"))

@@ -22,29 +22,43 @@ def feature_strings(**parts: Column) -> Column:
     return F.array(*(F.concat_ws(" ", F.lit(name), value.cast("string")) for name, value in parts.items()))
 
 
-def perceptron(examples: Sequence[tuple[Sequence[str], str]], epochs: int = 5) -> Weights:
-    """Averaged weights, in the examples' order; weights that end as 0 are dropped."""
-    w: Weights = {}
-    total: Weights = {}
-    stamp: dict[tuple[str, str], int] = {}
-    classes = sorted({gold for _, gold in examples})
-    step = 0
-
-    def change(fs: Sequence[str], c: str, by: float) -> None:
-        own, sums = w.setdefault(c, {}), total.setdefault(c, {})
+class Averaged:
+    """An averaged perceptron that learns an example at a time."""
+
+    def __init__(self, classes: Sequence[str]) -> None:
+        self.classes, self.step = list(classes), 0
+        self.w: Weights = {}
+        self.total: Weights = {}
+        self.stamp: dict[tuple[str, str], int] = {}
+
+    def change(self, fs: Sequence[str], c: str, by: float) -> None:
+        own, sums = self.w.setdefault(c, {}), self.total.setdefault(c, {})
         for f in fs:
-            sums[f] = sums.get(f, 0.0) + (step - stamp.get((c, f), 0)) * own.get(f, 0.0)
+            sums[f] = sums.get(f, 0.0) + (self.step - self.stamp.get((c, f), 0)) * own.get(f, 0.0)
             own[f] = own.get(f, 0.0) + by
-            stamp[c, f] = step
+            self.stamp[c, f] = self.step
+
+    def learn(self, fs: Sequence[str], gold: str) -> str:
+        """The guess before the example is learnt."""
+        self.step += 1
+        guess = best_class(self.w, fs, self.classes)
+        if guess != gold:
+            self.change(fs, gold, 1.0)
+            self.change(fs, guess, -1.0)
+        return guess
 
+    def weights(self) -> Weights:
+        """Averages; weights that end as 0 are dropped."""
+        return {c: {f: (self.total[c].get(f, 0.0) + (self.step - self.stamp[c, f]) * x) / self.step for f, x in own.items() if x} for c, own in self.w.items()}
+
+
+def perceptron(examples: Sequence[tuple[Sequence[str], str]], epochs: int = 5) -> Weights:
+    """Averaged weights, in the examples' order."""
+    own = Averaged(sorted({gold for _, gold in examples}))
     for _ in range(epochs):
         for fs, gold in examples:
-            step += 1
-            guess = best_class(w, fs, classes)
-            if guess != gold:
-                change(fs, gold, 1.0)
-                change(fs, guess, -1.0)
-    return {c: {f: (total[c].get(f, 0.0) + (step - stamp[c, f]) * x) / step for f, x in own.items() if x} for c, own in w.items()}
+            own.learn(fs, gold)
+    return own.weights()
 
 
 def best_class(w: Weights, fs: Sequence[str], classes: Sequence[str]) -> str:
@@ -236,6 +250,13 @@ def resampled(rows: DataFrame, label: str, value: object, times: int) -> DataFra
 
 
 def feature_ids(rows: DataFrame, fs: str = "fs") -> DataFrame:
-    """feature and id, by decreasing frequency; ids of one partition follow each other."""
-    counts = rows.select(F.explode(fs).alias("feature")).groupBy("feature").agg(F.count("*").alias("n"))
-    return counts.withColumn("id", F.row_number().over(Window.orderBy(F.desc("n"), "feature")) - 1)
+    """feature and id, by decreasing frequency, ties by name. A feature's place is the number of
+    features of greater frequency, a running sum over the few distinct frequencies, and its
+    place among those of its own, which is counted in parts of equal first characters."""
+    counts = rows.select(F.explode(fs).alias("feature")).groupBy("feature").agg(F.count("*").alias("n")).withColumn("part", F.substring("feature", 1, 4))
+    sizes = counts.groupBy("n", "part").agg(F.count("*").alias("many"))
+    levels = sizes.groupBy("n").agg(F.sum("many").alias("level")).withColumn("above", F.sum("level").over(Window.orderBy(F.desc("n"))) - F.col("level"))
+    before = sizes.withColumn("before", F.sum("many").over(Window.partitionBy("n").orderBy("part")) - F.col("many"))
+    ranked = counts.withColumn("at", F.row_number().over(Window.partitionBy("n", "part").orderBy("feature")) - 1)
+    placed = ranked.join(before.select("n", "part", "before"), ["n", "part"]).join(levels.select("n", "above"), "n")
+    return placed.select("feature", "n", (F.col("above") + F.col("before") + F.col("at")).cast("int").alias("id"))

@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Rows that ask for their neighbours at a time.
+ASKED = 256
+
 _VOWELS = frozenset("aeiou")
 _STEP2 = {"alism": "al", "aliti": "al", "alli": "al", "anci": "ance", "ation": "ate", "ational": "ate", "ator": "ate", "biliti": "ble", "bli": "ble", "eli": "e", "enci": "ence", "entli": "ent", "fulness": "ful", "iveness": "ive", "iviti": "ive", "ization": "ize", "izer": "ize", "logi": "log", "ousli": "ous", "ousness": "ous", "tional": "tion"}
 _STEP3 = {"alize": "al", "ative": "", "ful": "", "ical": "ic", "icate": "ic", "iciti": "ic", "ness": ""}
@@ -138,10 +145,49 @@ def cosine(x: Column, y: Column) -> Column:
 
 
 def neighbours(vectors: DataFrame, asked: DataFrame, key: str, n: int = 10) -> DataFrame:
-    """For each asked row the n rows of greatest cosine; the asked rows are broadcast."""
+    """For each asked row the n other rows of greatest cosine, rounded, ties by key. The asked rows
+    go out in blocks of ``ASKED``; every task keeps the best n of its own rows, so what
+    is shuffled grows with the asked rows and the tasks. Rows without a vector are left out."""
     from pyspark.sql import Window
 
-    pairs = vectors.crossJoin(F.broadcast(asked.select(F.col(key).alias("asked"), F.col("vec").alias("asked_vec")))).where(F.col(key) != F.col("asked"))
-    scored = pairs.select("asked", F.col(key).alias("other"), F.round(cosine(F.col("vec"), F.col("asked_vec")), 6).alias("cosine"))
+    spark = asked.sparkSession
+    wanted = asked.where("vec is not null").select(F.col(key).cast("bigint").alias("asked"), "vec")
+    few = [x["asked"] for x in wanted.select("asked").orderBy("asked").toLocalIterator()]
+    rows = vectors.where("vec is not null").select(F.col(key).cast("bigint").alias("key"), "vec")
+    found = spark.createDataFrame([], "asked bigint, other bigint, cosine double")
+    for i in range(0, len(few), ASKED):
+        block = wanted.where(F.col("asked").between(few[i], few[min(i + ASKED, len(few)) - 1])).orderBy("asked").toArrow()
+        ids, x = block["asked"].to_numpy(), _unit(block["vec"].combine_chunks())
+        shared = spark.sparkContext.broadcast((ids, x))
+        found = found.union(rows.mapInArrow(_best(shared, n), "asked bigint, other bigint, cosine double"))
     rank = F.row_number().over(Window.partitionBy("asked").orderBy(F.desc("cosine"), "other"))
-    return scored.withColumn("rank", rank).where(F.col("rank") <= n)
+    return found.withColumn("rank", rank).where(F.col("rank") <= n)
+
+
+def _unit(column: pa.Array) -> np.ndarray:
+    x = column.flatten().to_numpy().astype(np.float64).reshape(len(column), -1)
+    return x / np.maximum(np.sqrt((x * x).sum(1, keepdims=True)), 1e-300)
+
+
+def _best(shared, n: int):
+    """Of each asked row the n best of a task's rows."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, x = shared.value
+        best = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
+        for batch in batches:
+            if batch.num_rows == 0:
+                continue
+            keys, y = batch.column(0).to_numpy(), _unit(batch.column(1))
+            for i in range(0, len(keys), 4096):
+                own, c = keys[i : i + 4096], np.round(x @ y[i : i + 4096].T, 6)
+                a, o = np.nonzero(ids[:, None] != own[None, :])
+                every = [np.concatenate(z) for z in zip(best, (ids[a], own[o], c[a, o]), strict=True)]
+                order = np.lexsort((every[1], -every[2], every[0]))
+                every = [z[order] for z in every]
+                first = np.flatnonzero(np.append(True, every[0][1:] != every[0][:-1]))
+                place = np.arange(len(order)) - np.repeat(first, np.diff(np.append(first, len(order))))
+                best = [z[place < n] for z in every]
+        yield pa.record_batch([pa.array(z) for z in best], ["asked", "other", "cosine"])
+
+    return work

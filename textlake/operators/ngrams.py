@@ -6,7 +6,7 @@ an index is that of its counts, after partial aggregation.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import WORD, WORD_OR_SIGN, ending_word, upper_first
@@ -52,8 +52,10 @@ def top(freqs: DataFrame, n: int, *ties: str) -> DataFrame:
 
 
 def conditional(freqs: DataFrame, prefix: list[str]) -> DataFrame:
-    """freq and its share among the rows of the same prefix."""
-    return freqs.withColumn("prob", F.col("freq") / F.sum("freq").over(Window.partitionBy(*prefix)))
+    """freq and its share among the rows of the same prefix. Totals are combined before their
+    shuffle and joined, so a frequent prefix is no partition of its own."""
+    totals = freqs.groupBy(*prefix).agg(F.sum("freq").alias("total"))
+    return freqs.join(totals, prefix).select(*freqs.columns, (F.col("freq") / F.col("total")).alias("prob"))
 
 
 def marked_unigrams(docs: DataFrame, pattern: str = WORD_OR_SIGN) -> DataFrame:
@@ -123,9 +125,11 @@ def llr(both: Column, left: Column, right: Column, neither: Column) -> Column:
 def collocations(freqs: DataFrame, n: int = 20, stopwords: tuple[str, ...] = (), least: int = 1) -> DataFrame:
     """w1, w2, freq and llr of the n bigrams of the greatest log-likelihood ratio.
 
-    Marginals are windows over the bigram counts, which are far fewer than the tokens.
+    Marginals are sums of the bigram counts, which are far fewer than the tokens, joined to the
+    bigrams that count.
     """
-    x = freqs.withColumn("l", F.sum("freq").over(Window.partitionBy("w1"))).withColumn("r", F.sum("freq").over(Window.partitionBy("w2")))
+    left, right = (freqs.groupBy(w).agg(F.sum("freq").alias(c)) for w, c in (("w1", "l"), ("w2", "r")))
+    x = freqs.where(F.col("freq") >= least).join(left, "w1").join(right, "w2")
     x = x.crossJoin(F.broadcast(freqs.agg(F.sum("freq").alias("total"))))
     x = x.where(F.col("freq") >= least).where(~F.lower("w1").isin(*stopwords) & ~F.lower("w2").isin(*stopwords)) if stopwords else x.where(F.col("freq") >= least)
     f, l, r, t = (F.col(c).cast("double") for c in ("freq", "l", "r", "total"))

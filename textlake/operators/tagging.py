@@ -7,11 +7,11 @@ from collections import Counter
 from collections.abc import Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
-from .learning import Weights, best_class, perceptron
+from .learning import Averaged, Weights, best_class
 
 Sent = Sequence[tuple[str, str]]
 
@@ -48,14 +48,17 @@ def single_tags(sents: Sequence[Sent], oftener: int = 20, share: float = 0.97) -
 
 
 def train(sents: Sequence[Sent], epochs: int = 5) -> tuple[Weights, list[str], dict[str, str]]:
-    """Weights, tags and the words of a single tag. History is the gold tags before a word."""
-    examples = []
-    for sent in sents:
-        words, prev, prev2 = [w for w, _ in sent], "-start2-", "-start-"
-        for i, (_, tag) in enumerate(sent):
-            examples.append((features(words, i, prev, prev2), tag))
-            prev, prev2 = tag, prev
-    return perceptron(examples, epochs), sorted({t for s in sents for _, t in s}), single_tags(sents)
+    """Weights, tags and the words of a single tag. A word's history is what the model would have
+    given the words before: the tag of a single-tag word, else its own guess at that time."""
+    tags, single = sorted({t for s in sents for _, t in s}), single_tags(sents)
+    own = Averaged(tags)
+    for _ in range(epochs):
+        for sent in sents:
+            words, prev, prev2 = [w for w, _ in sent], "-start2-", "-start-"
+            for i, (word, gold) in enumerate(sent):
+                guess = single.get(word) or own.learn(features(words, i, prev, prev2), gold)
+                prev, prev2 = guess, prev
+    return own.weights(), tags, single
 
 
 def tag(words: Sequence[str], model: tuple[Weights, list[str], dict[str, str]]) -> list[str]:
@@ -128,12 +131,13 @@ def alignment_pairs(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
 def em_start(pairs: DataFrame) -> DataFrame:
     """t(f | e) alike for all f beside e."""
     seen = pairs.select("e", "f").distinct()
-    return seen.withColumn("t", 1.0 / F.count("*").over(Window.partitionBy("e")))
+    return seen.join(seen.groupBy("e").agg(F.count("*").alias("n")), "e").select("e", "f", (1.0 / F.col("n")).alias("t"))
 
 
 def em_round(pairs: DataFrame, key: str, table: DataFrame) -> DataFrame:
     """One round of model 1: each f is shared among the words beside it in proportion to t; the
     shares, summed by (e, f), are normalised for each e."""
-    rows = pairs.join(table, ["e", "f"]).withColumn("c", F.col("t") / F.sum("t").over(Window.partitionBy(key, "at")))
-    counts = rows.groupBy("e", "f").agg(F.sum("c").alias("c"))
-    return counts.withColumn("t", F.col("c") / F.sum("c").over(Window.partitionBy("e"))).select("e", "f", "t")
+    rows = pairs.join(table, ["e", "f"])
+    rows = rows.join(rows.groupBy(key, "at").agg(F.sum("t").alias("all")), [key, "at"])
+    counts = rows.groupBy("e", "f").agg(F.sum(F.col("t") / F.col("all")).alias("c"))
+    return counts.join(counts.groupBy("e").agg(F.sum("c").alias("all")), "e").select("e", "f", (F.col("c") / F.col("all")).alias("t"))

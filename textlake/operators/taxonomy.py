@@ -15,6 +15,7 @@ def _recursive(edges: DataFrame, base: str, step: str, columns: str) -> DataFram
     """Runs a recursive query over the view {e} of the edges."""
     name = unique_name("edges")
     edges.createOrReplaceTempView(name)
+    edges.sparkSession.conf.set("spark.sql.cteRecursionRowLimit", -1)  # a closure may have any number of rows
     return edges.sparkSession.sql(f"WITH RECURSIVE r({columns}) AS ({base.format(e=name)} UNION ALL {step.format(e=name)}) SELECT * FROM r")
 
 

@@ -85,9 +85,9 @@ GENRES = dict(zip("abcdefghjklmnpr", ["press-reportage", "press-editorial", "pre
 def slash_tagged(spark: SparkSession, path: str) -> DataFrame:
     """file, genre (by the name's second letter), parag_ix, sent_ix, tok_ix, word and pos.
     Paragraphs are parted by two empty lines, sentences are lines."""
-    rows = whole(spark, path).select("file", F.posexplode(F.split("text", r"\n\s*\n\s*\n?")).alias("parag_ix", "parag"))
-    rows = rows.select("file", "parag_ix", F.posexplode(F.filter(F.split("parag", r"\n"), lambda x: F.trim(x) != "")).alias("sent_ix", "sent"))
-    rows = rows.select("file", "parag_ix", "sent_ix", F.posexplode(F.split(F.trim("sent"), r"\s+")).alias("tok_ix", "tok"))
+    rows = whole(spark, path).select("file", F.posexplode(F.split("text", r"\n\n\n")).alias("parag_ix", "parag"))
+    rows = rows.select("file", "parag_ix", F.posexplode(F.filter(F.split("parag", r"\n"), lambda x: x.rlike(r"\S"))).alias("sent_ix", "sent"))
+    rows = rows.select("file", "parag_ix", "sent_ix", F.posexplode(F.split(F.regexp_replace("sent", r"^\s+|\s+$", ""), r"\s+")).alias("tok_ix", "tok"))
     genre = F.element_at(F.create_map(*(F.lit(x) for kv in GENRES.items() for x in kv)), F.substring("file", 2, 1))
     rows = rows.select("file", genre.alias("genre"), "parag_ix", "sent_ix", "tok_ix", split_tagged(F.col("tok")).alias("t"))
     return rows.select("file", "genre", "parag_ix", "sent_ix", "tok_ix", F.when(F.col("t.word").isin("``", "''"), '"').otherwise(F.col("t.word")).alias("word"), F.upper("t.pos").alias("pos"))
