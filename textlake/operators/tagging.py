@@ -141,3 +141,29 @@ def em_round(pairs: DataFrame, key: str, table: DataFrame) -> DataFrame:
     rows = rows.join(rows.groupBy(key, "at").agg(F.sum("t").alias("all")), [key, "at"])
     counts = rows.groupBy("e", "f").agg(F.sum(F.col("t") / F.col("all")).alias("c"))
     return counts.join(counts.groupBy("e").agg(F.sum("c").alias("all")), "e").select("e", "f", (F.col("c") / F.col("all")).alias("t"))
+
+
+def placed_pairs(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """``alignment_pairs`` with the place j of e and both lengths, n_e and n_f."""
+    of = left.select(key, F.size("words").alias("n_e"), F.posexplode("words").alias("j", "e"))
+    return of.join(right.select(key, F.size("words").alias("n_f"), F.posexplode("words").alias("at", "f")), key)
+
+
+PLACES = ["at", "n_e", "n_f", "j"]
+
+
+def place_start(pairs: DataFrame) -> DataFrame:
+    """q(j | at, n_e, n_f) alike for all j."""
+    return pairs.select(*PLACES).distinct().withColumn("q", 1.0 / F.col("n_e"))
+
+
+def em_round_placed(pairs: DataFrame, key: str, table: DataFrame, places: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """One round of model 2: each f is shared in proportion to q times t. Returns t(f | e) and
+    q(j | at, n_e, n_f), both from the same shares."""
+    rows = pairs.join(table, ["e", "f"]).join(places, PLACES).withColumn("w", F.col("q") * F.col("t"))
+    rows = rows.join(rows.groupBy(key, "at").agg(F.sum("w").alias("all")), [key, "at"]).withColumn("c", F.col("w") / F.col("all"))
+    words, spots = rows.groupBy("e", "f").agg(F.sum("c").alias("c")), rows.groupBy(*PLACES).agg(F.sum("c").alias("c"))
+    t = words.join(words.groupBy("e").agg(F.sum("c").alias("all")), "e").select("e", "f", (F.col("c") / F.col("all")).alias("t"))
+    at = PLACES[:-1]
+    q = spots.join(spots.groupBy(*at).agg(F.sum("c").alias("all")), at).select(*PLACES, (F.col("c") / F.col("all")).alias("q"))
+    return t, q
