@@ -2,6 +2,8 @@ import itertools
 import random
 import re
 
+import numpy as np
+
 from textlake.llm import near_dup as nd
 
 from .conftest import prose
@@ -160,3 +162,35 @@ def test_lone_weak_pairs(spark):
 
 def test_prefix_depth():
     assert [nd.prefix_depth(s, nd.RECALL) for s in (0.9, 0.5, 0.3, 0.01)] == [8, 3, 2, 1]
+
+
+def test_chance_prefixes_are_no_candidates(spark):
+    """Texts share a prefix by chance the more often the more there are; sketches tell them apart."""
+    rng = random.Random(21)
+    common = prose(rng, 30)
+    docs = [(i, f"{common} {prose(rng, 60)}") for i in range(300)]
+    words = prose(rng, 90).split()
+    docs += [(300, " ".join(words)), (301, " ".join("other" if i % 9 == 4 and i < 76 else w for i, w in enumerate(words)))]
+    true = brute(docs, nd.THRESHOLD)
+    assert set(true) == {(300, 301)}
+    data = spark.createDataFrame(docs, "id bigint, text string").selectExpr("id", "xxhash64(text) as t", "text")
+    signed = nd.checkpointed(data.mapInArrow(nd._signed, "id bigint, t bigint, k bigint, sign binary"))
+    ids = {r.k: r.id for r in signed.collect()}
+    pairs = {tuple(sorted((ids[r.a], ids[r.b]))) for r in nd.candidates(signed, nd.THRESHOLD, nd.RECALL).collect()}
+    assert (300, 301) in pairs and len(pairs) < 300
+
+
+def test_sketches_agree_as_texts_do():
+    rng = random.Random(22)
+    seen, share = [], []
+    for _ in range(200):
+        words = prose(rng, 90).split()
+        pair = [" ".join(words), " ".join("other" if i % 9 == 4 and i < 76 else w for i, w in enumerate(words))]
+        data = [x.encode() for x in pair]
+        offsets = np.cumsum([0, *map(len, data)])
+        _, _, value, bounds = nd.words(np.frombuffer(b"".join(data), np.uint8), offsets)
+        planes = nd.sketches(nd.signatures(*nd.ngrams(value, bounds, nd.GRAM)))
+        share += brute(list(enumerate(pair)), 0.1).values()
+        seen.append(int(nd.agreement(planes, np.array([0]), np.array([1]))[0]))
+    assert min(seen) >= nd.least_agreement(nd.THRESHOLD)
+    assert len(share) == 200 and abs(sum(seen) / nd.SKETCH - sum(0.25 + 0.75 * j for j in share)) < 2
