@@ -93,3 +93,24 @@ def test_odd_rows(spark):
 
 def test_an_empty_round_is_not_the_last():
     assert not mi.complete(0, 0.0, mi.RECALL) and not mi.complete(90, 100.0, mi.RECALL) and mi.complete(95, 100.0, mi.RECALL)
+
+
+def test_what_is_made_at_a_time_is_bounded():
+    """Copies that are all near each other, and many visits, don't make batches of any size."""
+    rng = np.random.default_rng(24)
+    n, d = 1500, 32
+    x = (np.ones((n, d)) + rng.normal(0, 0.01, (n, d))).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    v = pa.array([r.tobytes() for r in x], pa.binary())
+    cells, keys = np.zeros(2 * n, np.int64), np.tile(np.arange(n), 2)
+    rows = pa.record_batch([pa.array(cells), pa.array(cells.astype(np.int32)), pa.array(np.repeat([0, 1], n).astype(np.int32)), pa.array(keys), pa.chunked_array([v, v]).combine_chunks()], ["cell", "part", "query", "k", "v"])
+    found = list(mi._asked(0.9)(iter([rows])))
+    assert sum(b.num_rows for b in found) == n * (n - 1)
+    assert max(b.num_rows for b in found) * 8 * d <= mi.MADE
+
+    class Shared:
+        value = [rng.normal(0, 1, (40, d // 2)) for _ in range(2)]
+
+    asked = list(mi.placed(Shared, d, 8, 1024)(iter([pa.record_batch([pa.array(np.arange(n)), v], ["k", "v"])])))
+    assert sum(b.num_rows for b in asked) == n * (1024 - 8) + n
+    assert max(b.nbytes for b in asked) <= mi.MADE
