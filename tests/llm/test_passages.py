@@ -1,3 +1,4 @@
+import os
 import random
 
 import numpy as np
@@ -233,3 +234,18 @@ def test_passages_beside_a_hot_text(spark):
     found = {(r.source_doc_id, r.doc_id) for r in rows}
     true = {(100 + i, 500 + 3 * i) for i in range(100)}
     assert found <= true and len(found) >= 0.97 * len(true)
+
+
+def test_pairs_are_compared_in_rounds(spark, monkeypatch):
+    """Many pairs to a text take several rounds, with the same result as one, and leave no texts behind."""
+    rng = random.Random(36)
+    passages = [prose(rng, 60) for _ in range(12)]
+    docs = spark.createDataFrame([(i, " ".join([*rng.sample(passages, 6), prose(rng, 20)])) for i in range(60)], "doc_id bigint, text string")
+    rounds, made = ps.rounds_of, []
+    monkeypatch.setattr(ps, "rounds_of", lambda *x: made.append(rounds(*x)) or made[-1])
+    got = sorted(map(tuple, ps.repeated_passages(docs).collect()))
+    assert made[0] > 2
+    monkeypatch.setattr(ps, "rounds_of", lambda *x: 1)
+    assert got and got == sorted(map(tuple, ps.repeated_passages(docs).collect()))
+    folder = ps.shared_folder(spark).removeprefix("file:")
+    assert not [name for name in os.listdir(folder) if name.startswith("texts-")]
