@@ -2,9 +2,10 @@ import json
 import os
 import random
 
+import pyarrow as pa
 import pytest
 
-from textlake.llm import bpe, token_counts
+from textlake.llm import bpe, cluster, token_counts
 
 from .conftest import prose
 
@@ -79,3 +80,16 @@ def test_long_texts_by_chunks(spark):
 
 def test_vocabularies_are_not_copied():
     assert json.dumps(FILE).startswith('"/opt/')
+
+
+def test_kernels_get_batches_of_bounded_bytes(spark):
+    """Long texts come in several batches, whatever the number of rows to a batch."""
+    docs = spark.range(0, 60, 1, 1).selectExpr("id as doc_id", "repeat('words of a long text ', 20000) as text")
+    bpe.encode(docs)  # sets the bound
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.record_batch([pa.array([batch.nbytes])], ["n"])
+
+    got = [r.n for r in docs.mapInArrow(sizes, "n bigint").collect()]
+    assert len(got) > 3 and max(got) <= cluster.BATCH + 2 * 22 * 20_000
