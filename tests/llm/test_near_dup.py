@@ -194,3 +194,52 @@ def test_sketches_agree_as_texts_do():
         seen.append(int(nd.agreement(planes, np.array([0]), np.array([1]))[0]))
     assert min(seen) >= nd.least_agreement(nd.THRESHOLD)
     assert len(share) == 200 and abs(sum(seen) / nd.SKETCH - sum(0.25 + 0.75 * j for j in share)) < 2
+
+
+def crowd(n, seed=3):
+    """Short texts of a few common lines, of which very many pairs are similar."""
+    rng = random.Random(seed)
+    lines = [prose(rng, 12) for _ in range(6)]
+    return [(i, "\n".join([*rng.sample(lines, 4), prose(rng, rng.randint(1, 14))])) for i in range(n)]
+
+
+def test_pairs_of_a_run_are_not_held():
+    """Verified pairs leave the kernel while those of the same run still come in."""
+    import zlib
+
+    import pyarrow as pa
+
+    docs, taken = crowd(200), []
+    pairs = list(itertools.combinations(range(len(docs)), 2))
+
+    def batch(kind, a, b, text):
+        return pa.record_batch([pa.array([5] * len(a)), pa.array([kind] * len(a), pa.int32()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(text, pa.binary())], ["home", "kind", "a", "b", "text"])
+
+    def batches():
+        yield batch(0, [i for i, _ in docs], [0] * len(docs), [zlib.compress(t.encode()) for _, t in docs])
+        for s in range(0, len(pairs), 500):
+            taken.append(s)
+            some = pairs[s : s + 500]
+            yield batch(1, [a for a, _ in some], [b for _, b in some], [None] * len(some))
+
+    out, early = {}, None
+    for found in nd._verified(0.5)(batches()):
+        early = early or len(taken)
+        out |= {(r["a"], r["b"]): r["jaccard"] for r in found.to_pylist()}
+    assert early <= 2 < len(taken)
+    assert out == brute(docs, 0.5) and len(out) > 1000
+
+
+def test_large_runs_are_parted(spark, monkeypatch):
+    """Cells have few texts, whatever a run has, and lose no pair."""
+    docs = crowd(150, 8)
+    frame = spark.createDataFrame(docs, "doc_id bigint, text string")
+    want = {(r.doc_id_a, r.doc_id_b): r.jaccard for r in nd.jaccard_pairs(frame).collect()}
+    monkeypatch.setattr(nd, "TEXTS", 10)
+    monkeypatch.setattr(nd, "MANY", 1)
+    cells = []
+    real = nd.needed_texts
+    monkeypatch.setattr(nd, "needed_texts", lambda pairs: cells.append(real(pairs)) or cells[-1])
+    assert {(r.doc_id_a, r.doc_id_b): r.jaccard for r in nd.jaccard_pairs(frame).collect()} == want and len(want) > 500
+    whole, parted = (max(r["count"] for r in c.groupBy("home").count().collect()) for c in cells)
+    assert whole > 60 and parted < 50
