@@ -189,7 +189,7 @@ def word_contexts_unordered(spark, d):
 
 @query(f"{_contexts()} select b.word as other, round(sum(a.weight * b.weight), 9) as score from c a join c b using (context) where a.word = 'the' and b.word <> 'the' group by b.word order by score desc, other limit 20")
 def similar_words(spark, d):
-    return N.similar(N.contexts(docs(spark, d)), "the")
+    return N.similar(N.context_freqs(docs(spark, d)), "the")
 
 
 @query(f"{_contexts()} select context, a.freq as freq_1, b.freq as freq_2 from c a join c b using (context) where a.word = 'the' and b.word = 'that'")

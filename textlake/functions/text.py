@@ -25,7 +25,7 @@ def lower_first(word: Column) -> Column:
 
 def ending_word(word: Column) -> Column:
     """Only signs that end sentences, or the paragraph sign."""
-    return word.rlike(PERIODS) | (word == "¶")
+    return F.substring(word, 1, 1).isin(".", "?", "!", "¶") & (word.rlike(PERIODS) | (word == "¶"))  # few words come to the pattern
 
 
 def normalized(word: Column, longest: int | None = None) -> Column:

@@ -149,8 +149,9 @@ def generated(transitions: list[tuple[str, str, float]], length: int, seed: int,
 
 def walked(table: DataFrame, length: int, seed: int, start: str = "¶", order: int = 1) -> list[str]:
     """The walk of ``generated`` over a table of all transitions, which stays distributed: only
-    the rows of visited prefixes are collected, once each."""
-    steps = table.select("prefix", "word", "weight").persist()
+    the rows of visited prefixes are collected, once each. Partitions are sorted by prefix, so that
+    a visit reads only the batches whose range holds it."""
+    steps = table.select("prefix", "word", "weight").sortWithinPartitions("prefix").persist()
     draw, out, state, known = random.Random(seed), [], [start] * order, {}
     while len(out) < length:
         prefix = " ".join(state)

@@ -1,24 +1,36 @@
 """N-gram, context and transition indexes as grouped aggregations over token arrays.
 
 Neighbours are taken inside the row, from the document's token array, so the only shuffle of
-an index is that of its counts, after partial aggregation.
+an index is that of its counts, after partial aggregation. Rows are chosen by their places and
+not by filters on the array, which would make it twice, and words are never null, so that no
+filter for that keeps two readers of one index from sharing its shuffle.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import WORD, WORD_OR_SIGN, ending_word, upper_first
 from .tokens import tokens
 
 
+def _places(first: int, after: int = 0, stride: int = 1) -> Column:
+    """Places (from 1) of an array t from ``first`` to the last but ``after``; no row if there are none."""
+    return F.explode(F.when(F.size("t") >= first + after, F.expr(f"sequence({first}, size(t) - {after}, {stride})"))).alias("i")
+
+
+def _word(step: int = 0) -> Column:
+    """The word so many places after i."""
+    return F.coalesce(F.element_at("t", F.col("i") + step), F.lit(""))
+
+
 def grams(docs: DataFrame, n: int, pattern: str = WORD, stride: int = 1, lower: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
     """w1 .. wn of each document, sliding by ``stride``; one row an occurrence."""
     text = F.lower("text") if lower else F.col("text")
-    rows = docs.select(*keep, F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("t")).where(F.size("t") >= n)
-    rows = rows.select(*keep, "t", F.explode(F.expr(f"sequence(1, size(t) - {n - 1}, {stride})")).alias("i"))
-    return rows.select(*keep, *(F.element_at("t", F.col("i") + j).alias(f"w{j + 1}") for j in range(n)))
+    rows = docs.select(*keep, F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("t"))
+    rows = rows.select(*keep, "t", _places(1, n - 1, stride))
+    return rows.select(*keep, *(_word(j).alias(f"w{j + 1}") for j in range(n)))
 
 
 def gram_freqs(docs: DataFrame, n: int, **options: object) -> DataFrame:
@@ -53,28 +65,32 @@ def top(freqs: DataFrame, n: int, *ties: str) -> DataFrame:
 
 def conditional(freqs: DataFrame, prefix: list[str]) -> DataFrame:
     """freq and its share among the rows of the same prefix. Totals are combined before their
-    shuffle and joined, so a frequent prefix is no partition of its own."""
+    shuffle and joined, so a frequent prefix is no partition of its own; the rows aren't sorted for
+    that, only a partition's totals are held."""
     totals = freqs.groupBy(*prefix).agg(F.sum("freq").alias("total"))
-    return freqs.join(totals, prefix).select(*freqs.columns, (F.col("freq") / F.col("total")).alias("prob"))
+    return freqs.join(totals.hint("shuffle_hash"), prefix).select(*freqs.columns, (F.col("freq") / F.col("total")).alias("prob"))
 
 
 def marked_unigrams(docs: DataFrame, pattern: str = WORD_OR_SIGN) -> DataFrame:
     """word and freq with sentence marks: <S> at a text's begin and after a sentence's end (also
     the last one); </S> one less."""
     rows = docs.select(F.concat(F.array(F.lit("<S>")), F.regexp_extract_all("text", F.lit(pattern), F.lit(0))).alias("t"))
-    rows = rows.select("t", F.posexplode("t").alias("i", "word"))
-    after = F.try_element_at("t", F.col("i") + 2)
-    ends = F.col("word").rlike(r"^[.?!]+$") & (after.isNull() | upper_first(after))
+    rows = rows.select("t", _places(1)).select("t", "i", _word().alias("word"))
+    after = F.try_element_at("t", F.col("i") + 1)
+    ends = F.substring("word", 1, 1).isin(".", "?", "!") & F.col("word").rlike(r"^[.?!]+$") & (after.isNull() | upper_first(after))
     marked = rows.select(F.explode(F.when(ends, F.array("word", F.lit("<S>"))).otherwise(F.array("word"))).alias("word"))
     freqs = marked.groupBy("word").agg(F.count("*").alias("freq"))
-    return freqs.union(freqs.where("word = '<S>'").select(F.lit("</S>"), F.col("freq") - 1))
+    row = lambda word, freq: F.struct(word.alias("word"), freq.alias("freq"))
+    own = row(F.col("word"), F.col("freq"))
+    both = F.when(F.col("word") == "<S>", F.array(own, row(F.lit("</S>"), F.col("freq") - 1))).otherwise(F.array(own))
+    return freqs.select(F.explode(both).alias("x")).select("x.word", "x.freq")
 
 
 def marked_bigrams(docs: DataFrame, pattern: str = WORD_OR_SIGN) -> DataFrame:
     """w1, w2 and freq; a pair across a sentence's end counts as (w1, </S>) and (<S>, w2)."""
-    rows = docs.select(F.concat(F.array(F.lit("<S>")), F.regexp_extract_all("text", F.lit(pattern), F.lit(0)), F.array(F.lit("</S>"))).alias("t")).where(F.size("t") > 2)
-    rows = rows.select("t", F.explode(F.expr("sequence(1, size(t) - 1)")).alias("i")).select(F.element_at("t", F.col("i")).alias("a"), F.element_at("t", F.col("i") + 1).alias("b"))
-    cut = F.col("a").rlike(r"^[.?!]+$") & upper_first(F.col("b"))
+    rows = docs.select(F.concat(F.array(F.lit("<S>")), F.regexp_extract_all("text", F.lit(pattern), F.lit(0)), F.array(F.lit("</S>"))).alias("t"))
+    rows = rows.select("t", F.when(F.size("t") > 2, F.lit(1)).alias("more")).select("t", F.explode(F.when(F.col("more") == 1, F.expr("sequence(1, size(t) - 1)"))).alias("i")).select(_word().alias("a"), _word(1).alias("b"))
+    cut = F.substring("a", 1, 1).isin(".", "?", "!") & F.col("a").rlike(r"^[.?!]+$") & upper_first(F.col("b"))
     pair = lambda x, y: F.struct(x.alias("w1"), y.alias("w2"))
     pairs = F.when(cut, F.array(pair(F.col("a"), F.lit("</S>")), pair(F.lit("<S>"), F.col("b")))).otherwise(F.array(pair(F.col("a"), F.col("b"))))
     return rows.select(F.explode(pairs).alias("p")).groupBy("p.w1", "p.w2").agg(F.count("*").alias("freq"))
@@ -83,30 +99,47 @@ def marked_bigrams(docs: DataFrame, pattern: str = WORD_OR_SIGN) -> DataFrame:
 def transitions(docs: DataFrame, n: int = 1) -> DataFrame:
     """prefix (n words before, the nearest first, blank-joined), word, freq and weight."""
     start = F.array(*[F.lit("¶")] * n)
-    rows = docs.select(F.concat(start, F.regexp_extract_all("text", F.lit(WORD), F.lit(0))).alias("t")).where(F.size("t") > n)
-    rows = rows.select("t", F.explode(F.expr(f"sequence({n + 1}, size(t))")).alias("i"))
-    prefix = F.concat_ws(" ", *(F.element_at("t", F.col("i") - j) for j in range(1, n + 1)))
-    freqs = rows.select(prefix.alias("prefix"), F.element_at("t", F.col("i")).alias("word")).groupBy("prefix", "word").agg(F.count("*").alias("freq"))
+    rows = docs.select(F.concat(start, F.regexp_extract_all("text", F.lit(WORD), F.lit(0))).alias("t"))
+    rows = rows.select("t", _places(n + 1))
+    rows = rows.select(F.concat_ws(" ", *(_word(-j) for j in range(1, n + 1))).alias("prefix"), _word().alias("word"))
+    if n > 1:
+        # Most rows are of their own then: each goes once, to the partition of its prefix.
+        rows = rows.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "prefix")
+        freqs = rows.groupBy("prefix", "word").agg(F.count("*").alias("freq"))
+        return freqs.withColumn("weight", F.col("freq") / F.sum("freq").over(Window.partitionBy("prefix")))
+    freqs = rows.groupBy("prefix", "word").agg(F.count("*").alias("freq"))
     return conditional(freqs, ["prefix"]).withColumnRenamed("prob", "weight")
 
 
+def context_freqs(docs: DataFrame, ignore_order: bool = False, pattern: str = WORD_OR_SIGN) -> DataFrame:
+    """word, context (previous_next) and freq."""
+    rows = docs.select(F.concat(F.array(F.lit("<S>")), F.regexp_extract_all("text", F.lit(pattern), F.lit(0)), F.array(F.lit("</S>"))).alias("t"))
+    rows = rows.select("t", _places(2, 1))
+    rows = rows.select(*(_word(j).alias(c) for j, c in ((-1, "p"), (0, "word"), (1, "n"))))
+    p = F.when(ending_word(F.col("p")) & upper_first(F.col("word")), "<S>").otherwise(F.col("p"))
+    n = F.when(ending_word(F.col("word")) & upper_first(F.col("n")), "</S>").otherwise(F.col("n"))
+    sides: tuple[Column, Column] = (F.least(p, n), F.greatest(p, n)) if ignore_order else (p, n)
+    return rows.select("word", F.concat_ws("_", *sides).alias("context")).groupBy("word", "context").agg(F.count("*").alias("freq"))
+
+
 def contexts(docs: DataFrame, ignore_order: bool = False, pattern: str = WORD_OR_SIGN) -> DataFrame:
     """word, context (previous_next), freq and weight (share within the word)."""
-    rows = docs.select(F.concat(F.array(F.lit("<S>")), F.regexp_extract_all("text", F.lit(pattern), F.lit(0)), F.array(F.lit("</S>"))).alias("t")).where(F.size("t") > 2)
-    rows = rows.select("t", F.explode(F.expr("sequence(2, size(t) - 1)")).alias("i"))
-    rows = rows.select(*(F.element_at("t", F.col("i") + j).alias(c) for j, c in ((-1, "p"), (0, "word"), (1, "n"))))
-    p = F.when(upper_first(F.col("word")) & ending_word(F.col("p")), "<S>").otherwise(F.col("p"))
-    n = F.when(upper_first(F.col("n")) & ending_word(F.col("word")), "</S>").otherwise(F.col("n"))
-    sides: tuple[Column, Column] = (F.least(p, n), F.greatest(p, n)) if ignore_order else (p, n)
-    freqs = rows.select("word", F.concat_ws("_", *sides).alias("context")).groupBy("word", "context").agg(F.count("*").alias("freq"))
-    return conditional(freqs, ["word"]).withColumnRenamed("prob", "weight")
+    return conditional(context_freqs(docs, ignore_order, pattern), ["word"]).withColumnRenamed("prob", "weight")
 
 
-def similar(table: DataFrame, word: str, n: int = 20) -> DataFrame:
-    """other and score: words by the summed products of weights over contexts shared with one."""
-    own = table.where(F.col("word") == word).select("context", F.col("weight").alias("own"))
-    rest = table.where(F.col("word") != word).join(own, "context")
-    return rest.groupBy(F.col("word").alias("other")).agg(F.round(F.sum(F.col("weight") * F.col("own")), 9).alias("score")).orderBy(F.desc("score"), "other").limit(n)
+def similar(freqs: DataFrame, word: str, n: int = 20) -> DataFrame:
+    """other and score: words by the summed products of weights over contexts shared with one.
+
+    Products are of ``context_freqs``; sums are divided by both words' totals. The word is chosen
+    after the counting, so that there is one index and no other pass over the texts.
+    """
+    counted = freqs.withColumn("this", F.when(F.col("freq") > 0, F.col("word")) == word)
+    own = counted.where("this").select("context", F.col("freq").alias("own"))
+    totals = freqs.groupBy("word").agg(F.sum("freq").alias("total"))
+    asked = counted.where("this").agg(F.sum("freq").alias("all"))
+    shared = counted.where("not this").join(own.hint("shuffle_hash"), "context").groupBy("word").agg(F.sum(F.col("freq") * F.col("own")).alias("both"))
+    scored = shared.join(totals.hint("shuffle_hash"), "word").crossJoin(F.broadcast(asked))
+    return scored.select(F.col("word").alias("other"), F.round(F.col("both") / F.col("total") / F.col("all"), 9).alias("score")).orderBy(F.desc("score"), "other").limit(n)
 
 
 def common_contexts(table: DataFrame, one: str, two: str) -> DataFrame:
@@ -129,8 +162,8 @@ def collocations(freqs: DataFrame, n: int = 20, stopwords: tuple[str, ...] = (),
     bigrams that count.
     """
     left, right = (freqs.groupBy(w).agg(F.sum("freq").alias(c)) for w, c in (("w1", "l"), ("w2", "r")))
-    x = freqs.where(F.col("freq") >= least).join(left, "w1").join(right, "w2")
-    x = x.crossJoin(F.broadcast(freqs.agg(F.sum("freq").alias("total"))))
+    x = freqs.where(F.col("freq") >= least).join(left.hint("shuffle_hash"), "w1").join(right.hint("shuffle_hash"), "w2")
+    x = x.crossJoin(F.broadcast(left.agg(F.sum("l").alias("total"))))
     x = x.where(F.col("freq") >= least).where(~F.lower("w1").isin(*stopwords) & ~F.lower("w2").isin(*stopwords)) if stopwords else x.where(F.col("freq") >= least)
     f, l, r, t = (F.col(c).cast("double") for c in ("freq", "l", "r", "total"))
     x = x.withColumn("llr", F.round(llr(f, l - f, r - f, t - l - r + f), 6))
