@@ -118,3 +118,40 @@ def test_markov_walk_has_all_transitions(spark, tmp_path):
     got = [r.word for r in queries.queries()["markov_generate"](spark, str(tmp_path)).orderBy("pos").collect()]
     every = [tuple(r) for r in ngrams.transitions(df).select("prefix", "word", "weight").collect()]
     assert got == language_model.generated(every, 200, 11) and {"cat", "dog"} <= set(got)
+
+
+def test_sentences_are_joined_as_tokens_are(spark):
+    """Rows that share an id and lines without words among them; no token is shuffled by itself."""
+    from textlake.plans import exchanges, physical_plan
+
+    rows = [(1, "one two. Three can't.\n\n(a) b"), (1, "five; six. Seven\nx"), (2, "~~ \u00a7\u00a7\nword"), (3, ""), (4, None), (5, "\u00a7\u00a7 \u00a7")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    joined = tokens.joined_sentences(tokens.sentence_tokens(df))
+    plan = physical_plan(joined)
+    assert exchanges(joined) == 1 and plan.count("MapInArrow") == 1 and "ArrowEvalPython" not in plan
+    assert {tuple(r) for r in joined.collect()} == {tuple(r) for r in tokens.joined_text(tokens.full_tokens(df)).collect()}
+
+
+def test_equal_classes_are_tagged_once():
+    """The best path, as by trying all paths of tags."""
+    import itertools
+    import math
+
+    from textlake.catalog.annotation import tagged_sents
+    from textlake.operators import tagging as Y
+
+    model = Y.hmm(tagged_sents(), 2)
+    log = lambda p: math.log(p or 1e-6)
+
+    def score(words, tags):
+        path, total = ["*", "*", *tags, "STOP"], 0
+        for i, w in enumerate([w if w in model["known"] else Y.rare_class(w) for w in words]):
+            total += log(model["move"].get(tuple(path[i : i + 3]), 0)) + log(model["emit"].get((tags[i], w), 0))
+        return total + log(model["move"].get(tuple(path[-3:]), 0))
+
+    for words in (["the", "boat", "sails"], ["a", "Xyz", "7"], ["Ann"], []):
+        got = Y.viterbi(words, model)
+        seen = [w if w in model["known"] else Y.rare_class(w) for w in words]
+        every = itertools.product(*([t for t in model["tags"] if (t, w) in model["emit"]] or model["tags"] for w in seen))
+        assert len(got) == len(words) and score(words, got) == pytest.approx(max(score(words, t) for t in every))
+    assert Y.viterbi(["qqq", "boat"], model) == Y.viterbi(["zzz", "boat"], model) and len(Y._memo(model).paths) == 5

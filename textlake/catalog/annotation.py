@@ -178,7 +178,8 @@ def rule_shares(spark, d):
 @query()
 def tagged_corpus(spark, d):
     """All turns of the conversations through the full tokenizer and the tagger."""
-    sents = K.full_tokens(table(spark, d, "conversations").select(F.col("conv_id").alias("doc_id"), "text").where("text is not null"))
-    rows = sents.groupBy("doc_id", "parag_ix", "sent_ix").agg(F.transform(F.sort_array(F.collect_list(F.struct("tok_ix", "word"))), lambda x: x["word"]).alias("words"))
+    sents = K.sentence_tokens(table(spark, d, "conversations").select(F.col("conv_id").alias("doc_id"), "text").where("text is not null"))
+    own = F.transform("words", lambda w, i: F.struct(i.alias("tok_ix"), w.alias("word")))
+    rows = sents.groupBy("doc_id", "parag_ix", "sent_ix").agg(F.transform(F.sort_array(F.flatten(F.collect_list(own))), lambda x: x["word"]).alias("words"))
     model = Y.hmm(tagged_sents(), 2)
     return rows.withColumn("tags", Y.tagged_column(F.col("words"), model, Y.viterbi)).select("doc_id", "parag_ix", "sent_ix", F.explode("tags").alias("tag")).groupBy("tag").agg(F.count("*").alias("n"))

@@ -79,7 +79,7 @@ def tokenize_full(spark, d):
 
 @query()
 def joined_text(spark, d):
-    return K.joined_text(K.full_tokens(docs(spark, d)))
+    return K.joined_sentences(K.sentence_tokens(docs(spark, d)))
 
 
 @query(f"{TOK} select word, count(*) as freq from tok group by word")

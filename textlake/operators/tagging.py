@@ -104,23 +104,70 @@ def hmm(sents: Sequence[Sent], least: int = 5) -> dict:
     return {"known": known, "tags": sorted(tags), "emit": {k: n / tags[k[0]] for k, n in emit.items()}, "move": {k: n / bi[k[:2]] for k, n in tri.items()}}
 
 
+#: Sequences whose tags a process remembers.
+REMEMBERED = 20_000
+
+
 def viterbi(words: Sequence[str], model: dict) -> list[str]:
-    """The most likely tags under the trigram model; unseen moves have a small share."""
-    tiny = 1e-6
-    log = lambda p: math.log(p or tiny)
-    best: dict[tuple[str, str], tuple[float, list[str]]] = {("*", "*"): (0.0, [])}
-    for word in words:
-        w = word if word in model["known"] else rare_class(word)
-        fit = [t for t in model["tags"] if (t, w) in model["emit"]] or model["tags"]
-        new: dict[tuple[str, str], tuple[float, list[str]]] = {}
-        for (u, v), (score, path) in best.items():
-            for t in fit:
-                s = score + log(model["move"].get((u, v, t), 0)) + log(model["emit"].get((t, w), 0))
-                if (v, t) not in new or s > new[v, t][0]:
-                    new[v, t] = (s, [*path, t])
-        best = new
-    end = max(best.items(), key=lambda kv: (kv[1][0] + log(model["move"].get((*kv[0], "STOP"), 0)), kv[0])) if words else None
-    return end[1][1] if end else []
+    """The most likely tags under the trigram model; unseen moves have a small share. Words count
+    by their classes only, so sequences of equal classes are tagged once (as far as they are remembered)."""
+    seen = tuple([w if w in model["known"] else rare_class(w) for w in words])
+    memo = _memo(model)
+    if seen not in memo.paths:
+        if len(memo.paths) >= REMEMBERED:
+            memo.paths.clear()
+        memo.paths[seen] = memo.path(seen)
+    return list(memo.paths[seen])
+
+
+class _Memo:
+    """The logarithms of a model's shares, as far as they were asked, and tags of sequences."""
+
+    def __init__(self, model: dict) -> None:
+        self.model, self.fits, self.moves, self.paths = model, {}, {}, {}
+
+    def fit(self, w: str) -> list[tuple[str, float]]:
+        if w not in self.fits:
+            emit = self.model["emit"]
+            tags = [t for t in self.model["tags"] if (t, w) in emit] or self.model["tags"]
+            self.fits[w] = [(t, math.log(emit.get((t, w), 0) or TINY)) for t in tags]
+        return self.fits[w]
+
+    def move(self, key: tuple[str, str, str]) -> float:
+        if key not in self.moves:
+            self.moves[key] = math.log(self.model["move"].get(key, 0) or TINY)
+        return self.moves[key]
+
+    def path(self, seen: tuple[str, ...]) -> list[str]:
+        best, back = {("*", "*"): 0.0}, []
+        for w in seen:
+            new: dict[tuple[str, str], float] = {}
+            came: dict[tuple[str, str], tuple[str, str]] = {}
+            for (u, v), score in best.items():
+                for t, emitted in self.fit(w):
+                    s = score + self.move((u, v, t)) + emitted
+                    if (v, t) not in new or s > new[v, t]:
+                        new[v, t], came[v, t] = s, (u, v)
+            best = new
+            back.append(came)
+        if not seen:
+            return []
+        at, out = max(best.items(), key=lambda kv: (kv[1] + self.move((*kv[0], "STOP")), kv[0]))[0], []
+        for came in reversed(back):
+            out.append(at[1])
+            at = came[at]
+        return out[::-1]
+
+
+TINY = 1e-6
+_last: list[_Memo] = []
+
+
+def _memo(model: dict) -> _Memo:
+    """That of the model last used here."""
+    if not _last or _last[0].model is not model:
+        _last[:] = [_Memo(model)]
+    return _last[0]
 
 
 def alignment_pairs(left: DataFrame, right: DataFrame, key: str) -> DataFrame:

@@ -7,6 +7,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
@@ -47,22 +48,22 @@ def _ends(word: Column, after: Column, line: Column) -> Column:
     return after.isNull() | (sign & (normal | ~line.rlike(r"\p{Lu}") | ~line.rlike(r"\p{Ll}")))
 
 
-def sentence_words(docs: DataFrame, text: str = "text") -> DataFrame:
-    """doc_id, line_ix, sent_ix (within the line), pos and word; a line's end ends a sentence.
+def sentence_words(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """doc_id (or what is kept), line_ix, sent_ix (within the line), pos and word; a line's end ends a sentence.
 
     The windows run over arrays of one line, inside the row, so nothing is shuffled.
     """
-    rows = docs.select("doc_id", F.posexplode(F.split(text, "\n")).alias("line_ix", "line"))
-    words = rows.select("doc_id", "line_ix", "line", F.regexp_extract_all("line", F.lit(CHUNK), F.lit(0)).alias("w")).where(F.size("w") > 0)
+    rows = docs.select(*keep, F.posexplode(F.split(text, "\n")).alias("line_ix", "line"))
+    words = rows.select(*keep, "line_ix", "line", F.regexp_extract_all("line", F.lit(CHUNK), F.lit(0)).alias("w"))
     ends = F.transform("w", lambda x, i: F.when(_ends(x, F.try_element_at("w", i + 2), F.col("line")), i).otherwise(-1))
-    words = words.withColumn("ends", F.filter(ends, lambda x: x >= 0))
+    words = words.withColumn("ends", F.filter(ends, lambda x: x >= 0))  # none of a line without words
     sent = F.transform("ends", lambda e, i: F.struct(i.cast("int").alias("sent_ix"), F.when(i == 0, 0).otherwise(F.element_at("ends", i) + 1).alias("first"), e.alias("last")))
-    return words.select("doc_id", "line_ix", "w", F.explode(sent).alias("s")).select("doc_id", "line_ix", "s.sent_ix", F.col("s.first").alias("pos"), F.slice("w", F.col("s.first") + 1, F.col("s.last") - F.col("s.first") + 1).alias("words"))
+    return words.select(*keep, "line_ix", "w", F.explode(sent).alias("s")).select(*keep, "line_ix", "s.sent_ix", F.col("s.first").alias("pos"), F.slice("w", F.col("s.first") + 1, F.col("s.last") - F.col("s.first") + 1).alias("words"))
 
 
-def sentences(docs: DataFrame, text: str = "text") -> DataFrame:
+def sentences(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """doc_id, line_ix, sent_ix, n_words and sent (words joined by a blank)."""
-    return sentence_words(docs, text).select("doc_id", "line_ix", "sent_ix", F.size("words").alias("n_words"), F.array_join("words", " ").alias("sent"))
+    return sentence_words(docs, text, keep).select(*keep, "line_ix", "sent_ix", F.size("words").alias("n_words"), F.array_join("words", " ").alias("sent"))
 
 
 _AN = "0-9A-Za-z"
@@ -80,6 +81,7 @@ RULES = (
 #: The rules of the Ukrainian profile also keep endings of ordinals with their number.
 RULES_UK = (*RULES[:2], "[0-9]+-[а-яіїєґ']+", *RULES[2:])
 _QUOTES = "'\"«»‘’“”"
+_MARKS = set("`‘’'")
 _WHO, _MARK = "(?:they|we|you|s?he|i)", "[`‘’']"
 _TWO = re.compile(f"(?:i{_MARK}m|{_WHO}{_MARK}d|\\w{_MARK}s)$", re.I)
 _THREE = re.compile(f"(?:{_WHO}{_MARK}(?:[rv]e|ll)|n{_MARK}t)$", re.I)
@@ -100,6 +102,7 @@ def merged_words(text: str, rules: tuple[str, ...] = RULES) -> list[tuple[str, i
         raw += [(m.group(), at + m.start(), at + m.end()) for m in _compiled(rules).finditer(line)]
         at += len(line) + 1
     out: list[tuple[str, int, int]] = []
+    marks = not _MARKS.isdisjoint(text)  # without one, no contraction or quoted word
     i = 0
 
     def split(word: str, beg: int, end: int, n: int) -> None:
@@ -125,7 +128,9 @@ def merged_words(text: str, rules: tuple[str, ...] = RULES) -> list[tuple[str, i
                 out[-1] = (text[first : after[2]], first, after[2])
                 i += 2
                 continue
-        if _TWO.search(word):
+        if not marks:
+            out.append(raw[i])
+        elif _TWO.search(word):
             split(word, beg, end, 2)
         elif _THREE.search(word):
             split(word, beg, end, 3)
@@ -150,12 +155,92 @@ def word_spans(text: str | Column) -> Column:
     return F.pandas_udf(_spans, ArrayType(SPAN))(text)
 
 
+#: Tokens that leave the kernel at a time.
+BLOCK = 1 << 16
+
+
+def _token_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of tokens from rows that end with a sentence."""
+    rows: list[int] = []
+    places: list[int] = []
+    found: list[tuple[str, int, int]] = []
+
+    def taken(batch: pa.RecordBatch) -> pa.RecordBatch:
+        kept = batch.select(range(batch.num_columns - 1)).take(pa.array(rows, pa.int64()))
+        words = [pa.array([x[i] for x in found], kind) for i, kind in enumerate((pa.string(), pa.int32(), pa.int32()))]
+        out = pa.record_batch([*kept.columns, pa.array(places, pa.int32()), *words], [*kept.schema.names, "tok_ix", "word", "beg", "end"])
+        for c in (rows, places, found):
+            c.clear()
+        return out
+
+    for batch in batches:
+        for r, text in enumerate(batch.column(batch.num_columns - 1).to_pylist()):
+            own = merged_words(text)
+            rows += [r] * len(own)
+            places += range(len(own))
+            found += own
+            if len(rows) >= BLOCK:
+                yield taken(batch)
+        if rows:
+            yield taken(batch)
+
+
+def _sents(docs: DataFrame, text: str) -> DataFrame:
+    """doc_id, parag_ix, sent_ix and sent."""
+    keep = ("doc_id", "parag_ix")
+    parags = paragraphs(docs, r"\r?\n|\r", text)
+    return sentences(parags.select(*keep, F.col("parag").alias("text")), keep=keep).select(*keep, "sent_ix", "sent")
+
+
 def full_tokens(docs: DataFrame, text: str = "text") -> DataFrame:
     """The token table: doc_id, parag_ix, sent_ix, tok_ix, word, beg and end (within the sentence)."""
-    parags = paragraphs(docs, r"\r?\n|\r", text)
-    sents = sentences(parags.select(F.struct("doc_id", "parag_ix").alias("doc_id"), F.col("parag").alias("text")))
-    found = sents.select(F.col("doc_id.doc_id").alias("doc_id"), F.col("doc_id.parag_ix").alias("parag_ix"), "sent_ix", F.posexplode(word_spans("sent")).alias("tok_ix", "t"))
-    return found.select("doc_id", "parag_ix", "sent_ix", "tok_ix", "t.word", "t.beg", "t.end")
+    sents = _sents(docs, text)
+    kinds = ", ".join(f"{c} {sents.schema[c].dataType.simpleString()}" for c in sents.columns[:-1])
+    return sents.mapInArrow(_token_rows, f"{kinds}, tok_ix int, word string, beg int, end int")
+
+
+def _word_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Words of rows that end with a sentence; none of a sentence without any."""
+    for batch in batches:
+        rows: list[int] = []
+        found: list[list[str]] = []
+        size = 0
+
+        def taken(batch: pa.RecordBatch = batch, rows: list[int] = rows, found: list[list[str]] = found) -> pa.RecordBatch:
+            kept = batch.select(range(batch.num_columns - 1)).take(pa.array(rows, pa.int64()))
+            out = pa.record_batch([*kept.columns, pa.array(found, pa.list_(pa.string()))], [*kept.schema.names, "words"])
+            rows.clear()
+            found.clear()
+            return out
+
+        for r, text in enumerate(batch.column(batch.num_columns - 1).to_pylist()):
+            own = [w for w, _, _ in merged_words(text)]
+            if own:
+                rows.append(r)
+                found.append(own)
+                size += len(own)
+            if size >= BLOCK:
+                yield taken()
+                size = 0
+        if rows:
+            yield taken()
+
+
+def sentence_tokens(docs: DataFrame, text: str = "text") -> DataFrame:
+    """doc_id, parag_ix, sent_ix and the words of ``full_tokens``, a row for each sentence that has any."""
+    sents = _sents(docs, text)
+    kinds = ", ".join(f"{c} {sents.schema[c].dataType.simpleString()}" for c in sents.columns[:-1])
+    return sents.mapInArrow(_word_lists, f"{kinds}, words array<string>")
+
+
+def joined_sentences(sents: DataFrame) -> DataFrame:
+    """``joined_text`` of the token table from ``sentence_tokens``: sentences go to their document's
+    partition once, where paragraphs and texts are made."""
+    parts = int(sents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    own = F.transform("words", lambda w, i: F.struct("sent_ix", i.alias("tok_ix"), w.alias("word")))
+    every = F.sort_array(F.flatten(F.collect_list(own)))
+    parags = sents.repartition(parts, "doc_id").groupBy("doc_id", "parag_ix").agg(F.array_join(F.transform(every, lambda x: x["word"]), " ").alias("parag"))
+    return parags.groupBy("doc_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("parag_ix", "parag"))), lambda x: x["parag"]), "\n").alias("text"))
 
 
 def joined_text(table: DataFrame) -> DataFrame:
